@@ -34,15 +34,15 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: str) -> DataFrame:
-    """All columns of df, then those of fields (DDL), computed for each Arrow batch.
+def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all, if None), then those of fields (DDL), computed for each Arrow batch.
 
     make() is called once in each task and returns the function from a batch to the new columns.
     A column of df that bears the name of a new one is replaced by it.
     """
     new = T._parse_datatype_string(fields)
     taken = {f.name.lower() for f in new}
-    kept = [c for c in df.columns if c.lower() not in taken]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     out = T.StructType([df.schema[c] for c in kept] + list(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +55,21 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, out)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """Up to per_label documents of each label (0, 1) that have at most most_chars characters, as (id, text, label), and how many rows each label has.
+
+    Which ones is decided by a hash of the id, so it doesn't hang on the order of rows. Only rows of `labels` whose label is
+    not null count; an id with both labels counts as 1. At most 2 * per_label texts reach the driver.
+    """
+    own = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    totals = {r[0]: r[1] for r in own.groupBy("_label").count().collect()}
+    order = (F.xxhash64("_id"), "_id")
+    picked = own.filter("_label = 0").orderBy(*order).limit(per_label).union(own.filter("_label = 1").orderBy(*order).limit(per_label))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").isNotNull() & (F.char_length("_text") <= most_chars))
+    found = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    return sorted((r["_id"], r["_text"], r["_label"]) for r in found.collect()), totals
+
+
 def fold_of(column: str, folds: int) -> F.Column:
     """crc32 of an id as text, modulo the number of folds."""
     return F.crc32(F.col(column).cast("string")) % folds

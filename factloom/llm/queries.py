@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import table
+from . import langid, packing, quality, simhash, toxicity
+from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _learned(spark: SparkSession, sf_dir: str, folds: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """Documents and the labels that may be learned."""
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(fold_of("doc_id", folds) != held)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _learned(spark, sf_dir, 3, 1)
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "language")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold_of("doc_id", 4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "code_bits")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _learned(spark, sf_dir, 3, 1)
+    found = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
