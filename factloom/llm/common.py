@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: its functions are pickled by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_factloom_shipped", False):
+        root = Path(__file__).resolve().parent.parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="factloom-code-")) / "factloom_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted((root / "factloom").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(str(archive))
+        context._factloom_shipped = True
+
+
 def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, null as None."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -40,6 +55,7 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     make() is called once in each task and returns the function from a batch to the new columns.
     A column of df that bears the name of a new one is replaced by it.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(fields)
     taken = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, checkpoint, coded, kept, slices
+from .common import WordIds, checkpoint, coded, kept, ship, slices
 
 SIZE = 2048
 #: Pieces that are ranked together, about.
@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc
                     out["ids"] = pa.array(ids, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash, toxicity
+from . import langid, licenses, packing, quality, simhash, toxicity
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _learned(spark, sf_dir, 3, 1)
     found = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels), keep=["doc_id"])
     return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, checkpoint
+from .common import append_columns, checkpoint, ship
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -166,6 +166,7 @@ def link(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, cuts: int
         if u and sum(map(len, u)):
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
+    ship(prints.sparkSession)
     edges = rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(shards, "u long, v long")
     return components(edges).select(F.col("node").alias("print"), "root")
 
