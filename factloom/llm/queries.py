@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality, simhash, toxicity
+from . import decontamination, langid, licenses, linededup, packing, quality, simhash, toxicity
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,47 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return linededup.drop_boilerplate(pages, linededup.host("url"), linededup.html_lines("html")).select("page_id", "n_lines", "n_dropped", "clean_text")
+
+
+ORACLES["op2_line_dedup"] = r"""
+WITH lined AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS site,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '[\s\x{A0}]+', ' ', 'g'),
+      '</?(p|div|li|ul|ol|br|h[1-6]|tr|td|th|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>', chr(10), 'gi'),
+      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM pages),
+totals AS (SELECT site, count(*) AS total FROM lined GROUP BY site),
+often AS (SELECT site, line, count(*) AS n FROM (SELECT site, unnest(list_distinct(lines)) AS line FROM lined) GROUP BY site, line),
+bad AS (SELECT site, list(line) AS bad FROM often JOIN totals USING (site) WHERE n >= 4 AND n > 0.1 * total GROUP BY site),
+kept AS (SELECT page_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)) AS k FROM lined LEFT JOIN bad USING (site))
+SELECT page_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(k))::BIGINT AS n_dropped, array_to_string(k, chr(10)) AS clean_text FROM kept
+"""
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# windows at every offset that a shared shingle gives, compared by weighted Jaccard similarity; no fingerprints
+ORACLES["op6_decontamination"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM w WHERE len(w) >= 5),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, len(w) AS size, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS t FROM iw WHERE len(w) >= 5),
+dp AS (SELECT doc_id, n, unnest(s) AS h, generate_subscripts(s, 1) - 1 AS place FROM d),
+ip AS (SELECT item_id, size, h, min(p) AS p FROM (SELECT item_id, size, unnest(t) AS h, generate_subscripts(t, 1) - 1 AS p FROM i) GROUP BY ALL),
+win AS (SELECT DISTINCT doc_id, n, size, greatest(0, least(place - p, n - size)) AS start_word FROM dp JOIN ip USING (h)),
+own AS (SELECT win.doc_id, size, start_word, least(size, win.n) AS n_words, s[start_word + 1 : start_word + least(size, win.n) - 4] AS o FROM win JOIN d USING (doc_id)),
+pairs AS (SELECT doc_id, item_id, start_word, n_words, o, t, list_aggregate(list_transform(list_intersect(o, t), lambda v: least(len(list_filter(o, lambda x: x = v)), len(list_filter(t, lambda x: x = v)))), 'sum') AS m FROM own JOIN i USING (size)),
+sim AS (SELECT doc_id, item_id, start_word, n_words, m / (len(o) + len(t) - m) AS similarity FROM pairs)
+SELECT doc_id, item_id, start_word::BIGINT AS start_word, n_words::BIGINT AS n_words, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word) = 1
+"""
