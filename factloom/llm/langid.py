@@ -89,8 +89,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOS
     """Trees from up to per_language texts of each non-null language, of at most most_chars characters each, picked by a hash of the id."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     own = own.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & (F.char_length("_text") <= most_chars))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_text")
-    found = own.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("_lang", "_text").collect()
+    own = own.withColumn("_hash", F.xxhash64("_id")).withColumn("_salt", F.pmod("_hash", F.lit(64)))
+    order = ("_hash", "_id", "_text")
+    # first within salts, so that a language with most of the texts isn't ranked by one task
+    for keys in (["_lang", "_salt"], ["_lang"]):
+        own = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= per_language)
+    found = own.select("_lang", "_text").collect()
     texts: dict[str, list[str]] = {}
     for lang, text in sorted(found):
         texts.setdefault(lang, []).append(text)

@@ -19,7 +19,7 @@ from .common import WordRows, append_columns, coded, kept, labelled_sample, slic
 
 SLOTS = 1 << 20
 #: Training rows per label and their greatest length; the fit uses no more, however large the input.
-PER_LABEL, MOST_CHARS = 3000, 12_000
+PER_LABEL, MOST_CHARS = 2500, 8000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.05, 0.1, 3
 CUT = 0.5
 _PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
@@ -79,13 +79,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     y = np.array([s[2] for s in sample], float)
     if len(set(y)) < 2:
         return Model(np.zeros(SLOTS, np.float32), 0.0 if not len(y) else 3.0 if y[0] else -3.0)
-    codes, distinct, offsets = coded(pc.ascii_split_whitespace(pa.array([s[1] for s in sample], pa.large_string())))
-    slots, starts = features(codes, _rows(distinct), offsets)
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)  # the last is the bias
     texts = []
-    for a, b in zip(starts, starts[1:], strict=False):
-        own, seen = np.unique(slots[a:b], return_counts=True)
-        texts.append((np.append(own, SLOTS), np.append(seen / np.sqrt(max(b - a, 1)), 1.0)))
+    for _, part in slices(pa.array([s[1] for s in sample], pa.large_string()), 2_000_000):
+        codes, distinct, offsets = coded(pc.ascii_split_whitespace(part))
+        slots, starts = features(codes, _rows(distinct), offsets)
+        for a, b in zip(starts, starts[1:], strict=False):
+            own, seen = np.unique(slots[a:b], return_counts=True)
+            texts.append((np.append(own, SLOTS).astype(np.int32), np.append(seen / np.sqrt(max(b - a, 1)), 1.0).astype(np.float32)))
     weight = len(y) / 2 / np.array([(1 - y).sum(), y.sum()])
 
     def weights(at: np.ndarray) -> np.ndarray:

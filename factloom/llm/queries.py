@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, linededup, packing, quality, simhash, toxicity
+from . import decontamination, langid, licenses, linededup, lmscore, packing, quality, simhash, toxicity
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,33 @@ sim AS (SELECT doc_id, item_id, start_word, n_words, m / (len(o) + len(t) - m) A
 SELECT doc_id, item_id, start_word::BIGINT AS start_word, n_words::BIGINT AS n_words, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word) = 1
 """
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+ORACLES["op3_lm_scoring"] = r"""
+WITH words AS (
+  SELECT 'b' AS m, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM conversations),
+ids AS (SELECT m, id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 5))::BIGINT) AS v FROM words),
+uni AS (SELECT m, u, count(*) AS n FROM (SELECT m, unnest(v) AS u FROM ids) GROUP BY ALL),
+tot AS (SELECT m, sum(n) AS n FROM uni GROUP BY m),
+pairs AS (SELECT m, id, unnest(v[:-2]) AS h, unnest(v[2:]) AS u FROM ids WHERE len(v) > 1),
+pc AS (SELECT m, h, u, count(*) AS n FROM pairs GROUP BY ALL),
+ctx AS (SELECT m, h, sum(n) AS n FROM pc GROUP BY ALL),
+own AS (SELECT id, h, u, count(*) AS k FROM pairs WHERE m = 'b' GROUP BY ALL),
+model AS (SELECT 't' AS m UNION ALL SELECT 'b'),
+pl AS (SELECT o.id, model.m, sum(o.k * -ln((coalesce(pc.n, 0) + 5.0 * ((coalesce(uni.n, 0) + 0.1) / (tot.n + 0.1 * 1048576))) / (coalesce(ctx.n, 0) + 5.0))) AS loss
+  FROM own o CROSS JOIN model JOIN tot ON tot.m = model.m LEFT JOIN pc ON pc.m = model.m AND pc.h = o.h AND pc.u = o.u
+  LEFT JOIN uni ON uni.m = model.m AND uni.u = o.u LEFT JOIN ctx ON ctx.m = model.m AND ctx.h = o.h GROUP BY ALL),
+fl AS (SELECT ids.id, tot.m, len(v) AS n, -ln((coalesce(uni.n, 0) + 0.1) / (tot.n + 0.1 * 1048576)) AS loss
+  FROM ids CROSS JOIN tot LEFT JOIN uni ON uni.m = tot.m AND uni.u = ids.v[1] WHERE ids.m = 'b'),
+per AS (SELECT fl.id, fl.m, fl.n, CASE WHEN fl.n > 0 THEN (fl.loss + coalesce(pl.loss, 0)) / fl.n END AS loss FROM fl LEFT JOIN pl ON pl.id = fl.id AND pl.m = fl.m)
+SELECT id AS doc_id, any_value(n)::BIGINT AS n_tokens, round(max(loss) FILTER (m = 't'), 6) AS target_loss, round(max(loss) FILTER (m = 'b'), 6) AS background_loss,
+  round(max(loss) FILTER (m = 't') - max(loss) FILTER (m = 'b'), 6) AS score FROM per GROUP BY id
+"""
