@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, linededup, lmscore, packing, quality, simhash, toxicity
+from . import decontamination, embeddings, langid, licenses, linededup, lmscore, packing, quality, simhash, toxicity
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,20 @@ per AS (SELECT fl.id, fl.m, fl.n, CASE WHEN fl.n > 0 THEN (fl.loss + coalesce(pl
 SELECT id AS doc_id, any_value(n)::BIGINT AS n_tokens, round(max(loss) FILTER (m = 't'), 6) AS target_loss, round(max(loss) FILTER (m = 'b'), 6) AS background_loss,
   round(max(loss) FILTER (m = 't') - max(loss) FILTER (m = 'b'), 6) AS score FROM per GROUP BY id
 """
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# every pair of a label, which only small tables allow
+ORACLES["op7_embedding_near_dedup"] = r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) >= 0.93 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
