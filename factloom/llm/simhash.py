@@ -200,7 +200,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows with a null id are judged by no one and stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi").dropDuplicates([id_col])
+    found = checkpoint(near_duplicates(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_first")).count())
+    kept = docs.join(found.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
+    if not found.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
