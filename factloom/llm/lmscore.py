@@ -126,9 +126,10 @@ def _losses(shared):
 
 def _model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Unigram probabilities, context counts and tokens, from at most VOCABULARY rows."""
-    rows = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toPandas()
+    rows = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toArrow()
     n, c = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-    n[rows["word"].to_numpy(np.int64)], c[rows["word"].to_numpy(np.int64)] = rows["n"].to_numpy(float), rows["c"].to_numpy(float)
+    word = rows["word"].to_numpy()
+    n[word], c[word] = rows["n"].to_numpy(), rows["c"].to_numpy()
     return (n + ALPHA) / (n.sum() + ALPHA * VOCABULARY), c, int(n.sum())
 
 
