@@ -1 +1,78 @@
-"""stub"""
+"""Queries over price-like series and pricing frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.rules import LATIN, pattern
+from ..operators import classify, market
+from . import views as V
+from .registry import query
+from .views import FINDINGS, SERIES, quoted
+
+_W = "PARTITION BY code ORDER BY ts, tie"
+
+
+@query(f"WITH {SERIES} SELECT tie, round(100 * (close / nullif(lag(close, 10) OVER ({_W}), 0) - 1), 6) AS ret FROM s")
+def ret_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.returns(V.series(spark, sf_dir), 10).select("tie", F.round("ret", 6).alias("ret"))
+
+
+@query(f"""WITH {SERIES}, x AS (SELECT tie, close, min(close) OVER w AS lo, max(close) OVER w AS hi FROM s WINDOW w AS ({_W} ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))
+SELECT tie, CASE WHEN hi > lo THEN round(100 * (close - lo) / (hi - lo), 6) END AS position FROM x""")
+def range_position_250(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.range_position(V.series(spark, sf_dir)).select("tie", F.round("position", 6).alias("position"))
+
+
+@query(f"""WITH {SERIES}, x AS (SELECT tie, avg(volume) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, avg(volume) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS b, count(volume) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS n FROM s)
+SELECT tie, CASE WHEN n >= 60 AND b <> 0 THEN round(a / b, 6) END AS ratio FROM x""")
+def volume_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.volume_ratio(V.series(spark, sf_dir)).select("tie", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {SERIES}, l AS (SELECT code, arg_max(close, (ts, tie)) AS last FROM s GROUP BY code HAVING count(*) > 10)
+SELECT code, any_value(last) AS last, round(100.0 * count(*) FILTER (close < last) / count(*), 6) AS percentile, round(100.0 * avg((close < 0)::INT), 6) AS loss_share FROM s JOIN l USING (code) GROUP BY code""")
+def strict_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.latest_percentile(V.series(spark, sf_dir)).select("code", "last", F.round("percentile", 6).alias("percentile"), F.round("loss_share", 6).alias("loss_share"))
+
+
+_RET = f"""{SERIES}, rr AS (SELECT code, ts, tie, 100 * (close / nullif(lag(close, 2) OVER ({_W}), 0) - 1) AS ret FROM s),
+lr AS (SELECT code, arg_max(ret, (ts, tie)) AS ret FROM (SELECT * FROM rr) GROUP BY code HAVING arg_max(ret, (ts, tie)) IS NOT NULL)"""
+
+
+@query(f"""WITH {_RET}, p AS (SELECT a.c_custkey AS code, b.c_custkey AS peer FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey),
+g AS (SELECT p.code, list_sort(list(lr.ret)) AS r FROM p JOIN lr ON lr.code = p.peer GROUP BY p.code)
+SELECT code, round(ret, 6) AS ret, round(r[len(r) // 2 + 1], 6) AS peer_median, round(ret - r[len(r) // 2 + 1], 6) AS alpha FROM lr JOIN g USING (code)""")
+def peer_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the same nation and segment are peers; the last return over two events is compared."""
+    c = V.table(spark, sf_dir, "customer")
+    group = ["c_nationkey", "c_mktsegment"]
+    peers = c.select(F.col("c_custkey").alias("code"), *group).join(c.select(F.col("c_custkey").alias("peer"), *group), group).select("code", "peer")
+    out = market.peer_alpha(market.latest_return(V.series(spark, sf_dir), 2), peers)
+    return out.select("code", *[F.round(x, 6).alias(x) for x in ("ret", "peer_median", "alpha")])
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as securities in some market state; several measures are missing for some."""
+    p, k = V.table(spark, sf_dir, "part"), F.col("p_partkey")
+    val = lambda e, keep: F.when(keep, e.cast("double"))
+    return p.select("p_partkey", val(k % 60 - 20, k % 11 != 0).alias("pe_ttm"), val(F.col("p_size") / 10, k % 13 != 0).alias("pb"), val(k * 37 % 101, k % 13 != 0).alias("pb_pct_3y"), val(k * 17 % 50 - 20, k % 7 != 0).alias("ret_10d"), val(k * 29 % 101, k % 5 != 0).alias("range_pct_250"), val((k % 20) / 10, k % 3 != 0).alias("vol_ratio"), val(k * 13 % 40 - 15, k % 2 == 0).alias("alpha_10d"), val(k * 11 % 40 - 15, k % 4 == 0).alias("peer_alpha_10d"), F.when(k % 11 != 0, k % 60 - 20 < 0).alias("loss_making"))
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN p_size / 10 END AS pb, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey * 37 % 101 END AS pct, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 17 % 50 - 20 END AS r10,
+  CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 29 % 101 END AS rp, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 20) / 10 END AS vr, CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 11 % 40 - 15 WHEN p_partkey % 2 = 0 THEN p_partkey * 13 % 40 - 15 END AS a,
+  p_partkey % 11 <> 0 AND p_partkey % 60 - 20 < 0 AS loss FROM part),
+f AS (SELECT *, CASE WHEN r10 IS NULL AND pb IS NULL THEN '数据不足(未取到量价/估值)' WHEN coalesce(pct >= 80, false) AND loss THEN '困境反转 / 主题定价' WHEN coalesce(r10 >= 15, false) AND (a IS NULL OR a >= 10) THEN '板块 beta / 主题驱动'
+  WHEN coalesce(pct <= 30, false) AND NOT loss THEN '价值 / 低估修复' WHEN loss THEN '困境反转(待盈利拐点)' ELSE '常态基本面定价' END AS frame FROM x)
+SELECT p_partkey, frame, CASE WHEN frame IN ('困境反转 / 主题定价', '板块 beta / 主题驱动', '困境反转(待盈利拐点)') THEN '低' WHEN frame = '价值 / 低估修复' THEN '高' ELSE '中' END AS weight,
+  CASE WHEN frame LIKE '数据不足%' THEN '' ELSE concat_ws(',', CASE WHEN loss THEN 'loss' END, CASE WHEN vr >= 1.3 THEN 'volume_up' END, CASE WHEN rp >= 70 THEN 'high' WHEN rp <= 30 THEN 'low' WHEN rp IS NOT NULL THEN 'middle' END) END AS reasons FROM f""")
+def frame_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.pricing_frame(_snapshots(spark, sf_dir)).select("p_partkey", "frame", "weight", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH {FINDINGS}, v AS (SELECT source, fact_id, substr(claim, 1, 36) AS c, CASE WHEN regexp_matches(claim, {quoted(pattern(LATIN.fast))}) THEN 'fast' WHEN regexp_matches(claim, {quoted(pattern(LATIN.slow))}) THEN 'slow' END AS s FROM f)
+SELECT source, count(*) FILTER (s = 'fast') AS fast, count(*) FILTER (s = 'slow') AS slow, coalesce(array_to_string((list(c ORDER BY fact_id) FILTER (s = 'fast'))[1:4], '|'), '') AS samples FROM v GROUP BY source""")
+def speed_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = market.reweight(LATIN, V.findings(spark, sf_dir), "source")
+    return out.select("source", "fast", "slow", F.array_join("samples", "|").alias("samples"))
