@@ -63,7 +63,7 @@ def iso_date(s: Column) -> Column:
 def recency(valid_at: Column, as_of: Column) -> Column:
     """1 for today and later, falling to 0 over 365 days; 0 without a date."""
     age = F.datediff(as_of, iso_date(valid_at))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / 365)), F.lit(0.0))
+    return F.when(age.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / 365)))
 
 
 def epoch_ms_date(ms: Column) -> Column:
