@@ -91,7 +91,7 @@ def is_garbage(rules: RuleSet, name: Column, kind: Column) -> Column:
     n = F.trim(name)
     g = rules.garbage
     odd = n.rlike(g["date"]) | n.rlike(g["legal"]) | n.rlike(g["market"]) | n.isin(*rules.generic) | (kind.isin("concept", "material") & n.rlike(g["number"]))
-    return F.coalesce(F.when(n == "", True).when(kind.isin(*R.SAFE_TYPES), False).otherwise(odd), F.lit(True))
+    return F.coalesce(F.when(n.isNull() | (n == ""), True).when(kind.isin(*R.SAFE_TYPES), False).otherwise(odd), F.lit(True))
 
 
 def is_bank(rules: RuleSet, name: Column) -> Column:
