@@ -24,11 +24,20 @@ from .simhash import _Sets
 
 COSINE = 0.93
 #: Classes of a graph, about; cells a class goes to; most pivots there are; neighbours of a node; width of the greedy search.
-SHARD, CELLS, PIVOTS, DEGREE, BEAM = 1500, 3, 8192, 24, 32
+SHARD, CELLS, PIVOTS, DEGREE, BEAM = 400, 3, 8192, 24, 32
 #: Pruning slack, and how far under the range the search still widens.
 ALPHA, SLACK = 1.2, 0.06
 
 
+def apart(vectors: np.ndarray, cosine: float = 0.7) -> np.ndarray:
+    """The unit vectors that are no nearer to an earlier one kept: several pivots inside one dense group would part its members."""
+    kept: list[int] = []
+    for k in range(len(vectors)):
+        if not kept or (vectors[kept] @ vectors[k]).max() < cosine:
+            kept.append(k)
+    return vectors[kept]
+
+
 def _unit(frame: pd.Series) -> np.ndarray:
     v = np.stack(frame.to_numpy()).astype(np.float64)
     return v / np.linalg.norm(v, axis=1)[:, None]
@@ -102,10 +111,12 @@ def _find(cosine: float):
         if not len(rows) or len(ids) < 2:
             return pd.DataFrame(out)
         at = {c: k for k, c in enumerate(ids[rows])}
-        lists = [[at[c] for c in (near if near is not None else ()) if c in at] for near in frame["near"].to_numpy()[rows]]
-        neighbours = np.full((len(rows), max(1, *map(len, lists))), -1, np.int64)
-        for k, x in enumerate(lists):
-            neighbours[k, : len(x)] = x
+        ends = [(k, at[c]) for k, near in enumerate(frame["near"].to_numpy()[rows]) if near is not None for c in near if c in at]
+        # edges count both ways: a node that none of its neighbours chose stays reachable
+        ends = np.unique(np.array(ends + [(b, a) for a, b in ends], np.int64).reshape(-1, 2), axis=0)
+        degree = np.bincount(ends[:, 0], minlength=len(rows))
+        neighbours = np.full((len(rows), max(1, degree.max(initial=0))), -1, np.int64)
+        neighbours[ends[:, 0], np.arange(len(ends)) - np.repeat(np.cumsum(degree) - degree, degree)] = ends[:, 1]
         medoid = int((vectors[rows] @ vectors[rows].sum(axis=0)).argmax())
         cells = frame["cells"].to_numpy()
         sets = _Sets(len(ids))
@@ -152,7 +163,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
         for label in large:
             if mine := [r["v"] for r in sorted(picked, key=lambda r: r["class"]) if r["label"] == label]:
                 v = np.array(mine)
-                pivots[label] = v / np.linalg.norm(v, axis=1)[:, None]
+                pivots[label] = apart(v / np.linalg.norm(v, axis=1)[:, None])
     shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors, about
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
