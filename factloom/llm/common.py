@@ -159,7 +159,7 @@ class WordIds(dict):
 class WordRows:
     """A value row for each distinct word, worked out once; forgotten as a whole beyond `most` words, so memory is bounded."""
 
-    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], most: int = 500_000) -> None:
+    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], most: int = 300_000) -> None:
         self.rows_of, self.most = rows_of, most
         self.rows = rows_of([])
         self.forget()
@@ -184,11 +184,12 @@ class WordRows:
         return self.rows[at]
 
 
-_KEPT: dict = {}
+_KEPT: list = []
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:
-    """What make() gave for the last key of its kind (key[0]) in this Python worker: workers outlive tasks."""
-    if _KEPT.get(key[0], (None,))[0] != key:
-        _KEPT[key[0]] = (key, make())
-    return _KEPT[key[0]][1]
+    """What make() gave for the last key in this Python worker: workers outlive tasks. Another operator's key replaces it, so only one cache takes memory."""
+    if not _KEPT or _KEPT[0] != key:
+        _KEPT[:] = []
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]

@@ -113,7 +113,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     def make():
         own = shared.value
-        cache = kept(("langid", own.key), lambda: WordRows(own.rows_of, 400_000))
+        cache = kept(("langid", own.key), lambda: WordRows(own.rows_of))
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             langs, scores, bits = [], [], []

@@ -32,7 +32,7 @@ class ChunkTokens:
     ids are those of its chunks in order. The cache is forgotten beyond `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
