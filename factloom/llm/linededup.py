@@ -35,7 +35,7 @@ def host(column: str) -> F.Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, bad): for each site that has any the sorted hashes of its boilerplate lines; pages has columns site and lines.
+    """(site, _l_bad): for each site that has any the sorted hashes of its boilerplate lines; pages has columns site and lines.
 
     A line counts once a page. A site has lines per page / ratio of them at most, on average over its pages.
     """
@@ -43,7 +43,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     often = seen.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     totals = pages.groupBy("site").agg(F.count("*").alias("total")).filter(F.col("total") >= min_pages)
     # per site the lines kept here are few, so its group is bounded whatever the number of its pages
-    return often.join(totals, "site").filter(F.col("n") > ratio * F.col("total")).groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("bad"))
+    return often.join(totals, "site").filter(F.col("n") > ratio * F.col("total")).groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("_l_bad"))
 
 
 def drop_boilerplate(docs: DataFrame, site: F.Column, lines: F.Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, salts: int = SALTS) -> DataFrame:
@@ -53,13 +53,13 @@ def drop_boilerplate(docs: DataFrame, site: F.Column, lines: F.Column, ratio: fl
     site of its own. Repeated rows count as pages each. Columns with these names are replaced; columns that start with `_l_` too.
     """
     new = ("n_lines", "n_dropped", "clean_text")
-    docs = docs.select("*", F.pmod(F.xxhash64(*[c for c in docs.columns if docs.schema[c].dataType.simpleString() in _PLAIN]), F.lit(salts)).cast("int").alias("_l_salt"))
+    docs = docs.select("*", F.pmod(F.xxhash64(F.lit(0), *[c for c in docs.columns if docs.schema[c].dataType.simpleString() in _PLAIN]), F.lit(salts)).cast("int").alias("_l_salt"))
     own = docs.select("*", F.coalesce(site.cast("string"), F.lit("\x00")).alias("_l_site"), lines.alias("_l_lines"))
     own = own.drop(*new)
     bad = boilerplate(own.select(F.col("_l_site").alias("site"), F.coalesce("_l_lines", F.array().cast("array<string>")).alias("lines")), ratio, min_pages)
-    bad = bad.select(F.col("site").alias("_l_site"), "bad", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_l_salt"))
-    kept = F.when(F.col("bad").isNull(), F.col("_l_lines")).otherwise(F.filter("_l_lines", lambda line: ~F.array_contains(F.col("bad"), F.xxhash64(line))))
+    bad = bad.select(F.col("site").alias("_l_site"), "_l_bad", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_l_salt"))
+    kept = F.when(F.col("_l_bad").isNull(), F.col("_l_lines")).otherwise(F.filter("_l_lines", lambda line: ~F.array_contains(F.col("_l_bad"), F.xxhash64(line))))
     out = own.join(bad, ["_l_site", "_l_salt"], "left").withColumn("_l_kept", kept)
     count = lambda column: F.when(F.col(column).isNull(), 0).otherwise(F.size(column)).cast("long")
     out = out.withColumn("n_lines", count("_l_lines")).withColumn("n_dropped", F.col("n_lines") - count("_l_kept"))
-    return out.withColumn("clean_text", F.array_join("_l_kept", "\n")).drop("_l_site", "_l_salt", "_l_lines", "_l_kept", "bad")
+    return out.withColumn("clean_text", F.array_join("_l_kept", "\n")).drop("_l_site", "_l_salt", "_l_lines", "_l_kept", "_l_bad")
