@@ -193,3 +193,8 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
         _KEPT[:] = []
         _KEPT[:] = [key, make()]
     return _KEPT[1]
+
+
+def release() -> None:
+    """Forgets what kept() keeps, before work that needs the memory."""
+    _KEPT[:] = []

@@ -16,17 +16,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordRows, coded_words, kept, ship, slices
+from .common import WordRows, coded_words, kept, release, ship, slices
 
 BITS = 20
 VOCABULARY = 1 << BITS
 #: Weight of the unigram model in each context, and of each word in the unigram model.
 KAPPA, ALPHA = 5.0, 0.1
 #: Tokens of a shard, about, and characters of a block of documents.
-SHARD_TOKENS, BLOCK_CHARS = 1_000_000, 6_000_000
+SHARD_TOKENS, BLOCK_CHARS = 4_000_000, 6_000_000
+#: A shard is worked through in so many parts of its pairs.
+PARTS = 4
 
 
 def word_ids(words: list[str]) -> np.ndarray:
@@ -71,7 +74,8 @@ def _send(shards: int, is_target: bool):
     """A row for each block and shard: the block's documents (none for the target), how many pairs each has here, the pairs and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, offsets in _blocks(batches):
+        for number, (rows, ids, offsets) in enumerate(_blocks(batches)):
+            block = TaskContext.get().partitionId() << 32 | number
             docs = np.repeat(np.zeros(len(offsets) - 1, np.int64) if is_target else np.arange(len(offsets) - 1), np.diff(offsets))
             whose = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             inner = np.flatnonzero(whose[1:] == whose[:-1])
@@ -85,45 +89,66 @@ def _send(shards: int, is_target: bool):
             pairs, docs, shard, count = pairs[order], docs[order], shard[order], count[order]
             bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
             keys = None if is_target else rows.column(0).to_numpy()
-            out = {"shard": [], "keys": [], "lengths": [], "pairs": [], "counts": []}
+            out = {"shard": [], "block": [], "keys": [], "lengths": [], "pairs": [], "counts": []}
             for a, b in zip(bounds, bounds[1:], strict=False):
                 there, lengths = np.unique(docs[a:b], return_counts=True)
                 out["shard"].append(int(shard[a]))
+                out["block"].append(block)
                 out["keys"].append(b"" if is_target else keys[there].astype("<i8").tobytes())
                 out["lengths"].append(b"" if is_target else lengths.astype("<u4").tobytes())
                 out["pairs"].append(_packed(pairs[a:b]))
                 out["counts"].append(count[a:b].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({name: pa.array(v, pa.int32() if name == "shard" else pa.binary()) for name, v in out.items()})
+            yield pa.RecordBatch.from_pydict({name: pa.array(v, {"shard": pa.int32(), "block": pa.int64()}.get(name, pa.binary())) for name, v in out.items()})
 
     return run
 
 
 def _losses(shared):
-    """All rows of a shard -> for each document the sums of both models' losses over its pairs here."""
+    """All rows of a shard -> for each block that sent documents the sums of both models' losses over their pairs here, packed."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         models = shared.value
+        frame = frame.sort_values("block", kind="stable")
         parts = [_unpacked(x) for x in frame["pairs"]]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(float)
         target = np.repeat([not x for x in frame["keys"]], [len(x) for x in parts])
-        pairs, place = np.unique(np.concatenate(parts), return_inverse=True)
-        word, context = pairs & (VOCABULARY - 1), pairs >> BITS
+        pairs = np.concatenate(parts)
+        del parts
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]])
         lengths = np.concatenate([np.frombuffer(x, "<u4") for x in frame["lengths"]]).astype(np.int64)
-        if not len(lengths):
-            return pd.DataFrame({"key": [], "n": [], "t": [], "b": []}).astype({"key": "int64", "n": "int64", "t": float, "b": float})
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        mine = ~target
-        out = {"key": np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]]), "n": np.add.reduceat(counts[mine], starts).astype(np.int64)}
-        for name, mask in (("t", target), ("b", mine)):
-            unigram, contexts = models[name]
-            seen = np.bincount(place[mask], weights=counts[mask], minlength=len(pairs))
-            loss = -np.log((seen + KAPPA * unigram[word]) / (contexts[context] + KAPPA))
-            out[name] = np.add.reduceat(loss[place[mine]] * counts[mine], starts)
-        return pd.DataFrame(out)
+        docs = np.full(len(pairs), -1, np.int32)
+        docs[~target] = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        sums = {"n": np.zeros(len(lengths)), "t": np.zeros(len(lengths)), "b": np.zeros(len(lengths))}
+        for part in range(PARTS):  # a part of the pairs at a time takes less memory
+            own = np.flatnonzero((pairs >> 3) % PARTS == part)
+            if not len(own):
+                continue
+            found, place = np.unique(pairs[own], return_inverse=True)
+            word, context = found & (VOCABULARY - 1), found >> BITS
+            mine, k = ~target[own], counts[own].astype(float)
+            at = docs[own][mine]
+            sums["n"] += np.bincount(at, weights=k[mine], minlength=len(lengths))
+            for name, mask in (("t", ~mine), ("b", mine)):
+                unigram, contexts = models[name]
+                seen = np.bincount(place[mask], weights=k[mask], minlength=len(found))
+                loss = -np.log((seen + KAPPA * unigram[word]) / (contexts[context] + KAPPA))
+                sums[name] += np.bincount(at, weights=loss[place[mine]] * k[mine], minlength=len(lengths))
+        sizes = [len(x) // 4 for x in frame["lengths"]]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        rows = [(block, keys, *(sums[c][i:j].astype("<f8" if c != "n" else "<u4").tobytes() for c in ("n", "t", "b"))) for block, keys, i, j in zip(frame["block"], frame["keys"], bounds, bounds[1:], strict=False) if j > i]
+        return pd.DataFrame(rows, columns=["block", "keys", "n", "t", "b"])
 
     return run
 
 
+def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The packed sums of a block of documents from all shards -> one row per document key."""
+    key = np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]])
+    distinct, at = np.unique(key, return_inverse=True)
+    out = {c: np.bincount(at, weights=np.concatenate([np.frombuffer(x, kind) for x in frame[c]]), minlength=len(distinct)) for c, kind in (("n", "<u4"), ("t", "<f8"), ("b", "<f8"))}
+    return pd.DataFrame({"key": distinct, "n": out["n"].astype(np.int64), "t": out["t"], "b": out["b"]})
+
+
 def _model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Unigram probabilities, context counts and tokens, from at most VOCABULARY rows."""
     rows = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toArrow()
@@ -149,9 +174,11 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     unigram_t, context_t, more = _model(wanted.mapInArrow(_unigrams, counted))
     shared = spark.sparkContext.broadcast({"t": (unigram_t, context_t), "b": (unigram_b, context_b)})  # 4 * VOCABULARY doubles
     shards = math.ceil((tokens + more + 1) / SHARD_TOKENS)
-    fields = "shard int, keys binary, lengths binary, pairs binary, counts binary"
+    fields = "shard int, block long, keys binary, lengths binary, pairs binary, counts binary"
     sent = own.select("key", "text").mapInArrow(_send(shards, False), fields).union(wanted.mapInArrow(_send(shards, True), fields))
-    sums = sent.groupBy("shard").applyInPandas(_losses(shared), "key long, n long, t double, b double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    packed = sent.groupBy("shard").applyInPandas(_losses(shared), "block long, keys binary, n binary, t binary, b binary")
+    blocks = packed.groupBy("block").applyInPandas(_summed, "key long, n long, t double, b double")  # a block's documents are bounded by an Arrow batch
+    sums = blocks.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Number of words and losses of the first word of each document."""
