@@ -31,30 +31,33 @@ hit AS (SELECT s.canonical_id, s.predicate, s.object, s.seq, min(n.seq) AS by_se
 sup AS (SELECT s.*, h.by_seq, n.valid_at AS by_at, n.predicate AS by_predicate, n.object AS by_object FROM seg s LEFT JOIN hit h USING (canonical_id, predicate, object, seq) LEFT JOIN o n ON n.canonical_id = s.canonical_id AND n.seq = h.by_seq),
 st AS (SELECT canonical_id, predicate, object, CASE WHEN arg_max(by_seq IS NOT NULL, seq) THEN 'superseded' ELSE 'active' END AS status,
   max(by_at) FILTER (next_seq IS NULL) AS invalid_at, count(*) FILTER (by_seq IS NOT NULL AND next_seq IS NOT NULL) AS revivals FROM sup GROUP BY ALL)"""
-_SAME = F.col("object") == F.col("by_object")
+
+
+def _same() -> F.Column:
+    return F.col("object") == F.col("by_object")
 
 
 @query(f"WITH {_STATUS} SELECT canonical_id, predicate, object, status, invalid_at FROM st")
 def supersede_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.status(V.occurrences(spark, sf_dir), _SAME).drop("revivals")
+    return ledger.status(V.occurrences(spark, sf_dir), _same()).drop("revivals")
 
 
 @query(f"WITH {_STATUS} SELECT canonical_id, predicate, object, status, revivals FROM st WHERE revivals > 0")
 def fact_revive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that came back after having been superseded."""
-    return ledger.status(V.occurrences(spark, sf_dir), _SAME).filter("revivals > 0").drop("invalid_at")
+    return ledger.status(V.occurrences(spark, sf_dir), _same()).filter("revivals > 0").drop("invalid_at")
 
 
 @query(f"WITH {_STATUS} SELECT canonical_id, by_predicate AS predicate, by_object AS object, array_to_string(list_sort(list(DISTINCT predicate || '|' || object)), ',') AS supersedes FROM sup WHERE by_seq IS NOT NULL GROUP BY ALL")
 def supersede_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger.lineage(V.occurrences(spark, sf_dir), _SAME)
+    found = ledger.lineage(V.occurrences(spark, sf_dir), _same())
     return found.select("canonical_id", F.col("by_predicate").alias("predicate"), F.col("by_object").alias("object"), F.array_join("supersedes", ",").alias("supersedes"))
 
 
 @query(f"WITH {_STATUS}, {FOLD}, j AS (SELECT status, level FROM facts JOIN st USING (canonical_id, predicate, object)) SELECT CASE WHEN grouping(status, level) = 1 THEN 'status' WHEN grouping(status, level) = 2 THEN 'level' ELSE 'total' END AS section, coalesce(status, level, '') AS name, count(*) AS n FROM j GROUP BY GROUPING SETS ((status), (level), ())")
 def fact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = V.occurrences(spark, sf_dir)
-    return ledger.stats(ledger.fold(log).join(ledger.status(log, _SAME), ledger.KEY))
+    return ledger.stats(ledger.fold(log).join(ledger.status(log, _same()), ledger.KEY))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'invalidated' WHEN 'click' THEN 'disputed' ELSE 'active' END AS event, strftime(ts, '%Y-%m-%d') AS day FROM events),
@@ -69,7 +72,7 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STATUS}, {FOLD} SELECT canonical_id, predicate, object, CASE WHEN status = 'active' AND valid_at < '1995-01-01' THEN 'expired' ELSE status END AS status FROM facts JOIN st USING (canonical_id, predicate, object)")
 def expire_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = V.occurrences(spark, sf_dir)
-    facts = ledger.fold(log).join(ledger.status(log, _SAME), ledger.KEY)
+    facts = ledger.fold(log).join(ledger.status(log, _same()), ledger.KEY)
     return ledger.expire_before(facts, "1995-01-01").select(*ledger.KEY, "status")
 
 
