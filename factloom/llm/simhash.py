@@ -10,7 +10,7 @@ vantage-point tree finds the pairs, pruned by triangle bounds; a shard gives bac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -195,12 +195,12 @@ def _as_long(column: str) -> F.Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each group of near-duplicates: that with the least id; of rows repeating that id one stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without all but one document of each group of near-duplicates, as `find` gives them: that with the least id; of rows repeating that id one stays.
 
     Rows with a null id are judged by no one and stay.
     """
-    found = checkpoint(near_duplicates(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_first")).count())
+    found = checkpoint(find(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_first")).count())
     kept = docs.join(found.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
     if not found.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
