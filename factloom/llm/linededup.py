@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+from .decontamination import _maybe_broadcast
+
 #: A line goes if it stands on more than RATIO of its site's pages, and on MIN_PAGES pages at least.
 RATIO, MIN_PAGES, SALTS = 0.1, 4, 32
+#: A line of more words is a passage.
+PASSAGE_WORDS = 50
 
 #: Column types whose values spread rows over the salts.
 _PLAIN = ("string", "bigint", "int")
@@ -63,3 +68,22 @@ def drop_boilerplate(docs: DataFrame, site: F.Column, lines: F.Column, ratio: fl
     count = lambda column: F.when(F.col(column).isNull(), 0).otherwise(F.size(column)).cast("long")
     out = out.withColumn("n_lines", count("_l_lines")).withColumn("n_dropped", F.col("n_lines") - count("_l_kept"))
     return out.withColumn("clean_text", F.array_join("_l_kept", "\n")).drop("_l_site", "_l_salt", "_l_lines", "_l_kept", "_l_bad")
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs with each line of more than `words` words taken out of all texts but that of the least id which has it; every row stays.
+
+    All documents are one site, and two texts with the line are enough. Equal texts are one, so copies keep what their first
+    keeps; rows with a null id come after the others. Near-copies share most of their lines: drop them before.
+    """
+    own = docs.select("*", F.xxhash64(F.lit(1), text_col).alias("_l_key"), text_lines(text_col).alias("_l_lines"))
+    hashed = F.transform(F.filter("_l_lines", lambda line: F.size(F.split(F.trim(line), r"\s+")) > words), lambda line: F.xxhash64(line))
+    seen = own.select(F.col(id_col).alias("id"), "_l_key", F.explode(F.array_distinct(hashed)).alias("line"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "_l_key"))["_l_key"]
+    repeated = seen.groupBy("line").agg(F.min("_l_key").alias("low"), F.max("_l_key").alias("high"), first.alias("first")).filter("low <> high").select("line", "first")
+    repeated = checkpoint(repeated)
+    bad = seen.join(_maybe_broadcast(repeated, repeated.count()), "line").filter(F.col("_l_key") != F.col("first"))
+    bad = checkpoint(bad.groupBy("_l_key").agg(F.collect_set("line").alias("_l_bad")))  # lines of one text
+    kept = F.array_join(F.filter("_l_lines", lambda line: ~F.array_contains(F.col("_l_bad"), F.xxhash64(line))), "\n")
+    out = own.join(_maybe_broadcast(bad, bad.count()), "_l_key", "left")
+    return out.select(*[F.when(F.col("_l_bad").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns])
