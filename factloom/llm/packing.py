@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,29 +119,68 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc
     return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+class Sums:
+    """Index of the sums of one, two and three available lengths; lengths that are used up go from it for good."""
+
+    def __init__(self, lengths: list[int], size: int) -> None:
+        self.there = np.zeros(size + 1, bool)
+        self.there[lengths] = True
+        own = np.flatnonzero(self.there)
+        i, j = np.triu_indices(len(own))
+        total = own[i] + own[j]
+        fit = np.flatnonzero(total <= size)
+        fit = fit[np.lexsort((own[j[fit]] - own[i[fit]], total[fit]))]  # within a sum the most even pairs first: they spare the short lengths
+        self.long, self.short = own[j[fit]].astype(np.int32), own[i[fit]].astype(np.int32)
+        self.first = np.searchsorted(total[fit], np.arange(size + 2))
+        self.last = self.first[1:].copy()
+
+    def used_up(self, length: int) -> None:
+        self.there[length] = False
+
+    def singles(self, total: int) -> Iterator[tuple[int, ...]]:
+        if self.there[total]:
+            yield (total,)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, ...]]:
+        """Pairs of available lengths with this sum; a pair passed over at the front is not looked at again."""
+        a, b = self.first[total], self.last[total]
+        live = a + np.flatnonzero(self.there[self.long[a:b]] & self.there[self.short[a:b]])
+        self.first[total] = live[0] if len(live) else b
+        yield from ((int(self.long[k]), int(self.short[k])) for k in live)
+
+    def triples(self, total: int) -> Iterator[tuple[int, ...]]:
+        """Triples, each in falling order, by their longest length."""
+        most = np.flatnonzero(self.there[: max(total - 1, 0)])
+        most = most[(3 * most >= total) & (self.first[total - most] < self.last[total - most])]
+        for n in most.tolist():
+            yield from ((n, *rest) for rest in self.pairs(total - n) if rest[0] <= n)
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many sequences, the lengths that each holds): the plan with the fewest sequences of those that fill gaps by up to three, two, one or no lengths."""
-    return min((_plan(counts, size, parts) for parts in (3, 2, 1, 0)), key=lambda made: sum(times for times, _ in made))
+    """(how many sequences, the lengths that each holds), from how many pieces there are of each length.
+
+    Gaps are filled exactly by single lengths, then by pairs, then by triples. Where short lengths are rare, pairs and triples
+    take them from gaps that only they fit; if so, the plan without triples, or without pairs too, needs fewer sequences and is taken.
+    """
+    return min((_plan(counts, size, parts) for parts in (3, 2, 1)), key=lambda made: sum(times for times, _ in made))
 
 
 def _plan(counts: dict[int, int], size: int, parts: int) -> list[tuple[int, tuple[int, ...]]]:
-    """A plan from how many pieces there are of each length; gaps are filled exactly by `parts` lengths at most.
+    """A plan with exact complements of `parts` lengths at most.
 
-    Longest first: the gap a length leaves is looked up among single lengths, pair sums, then triple sums, and as many
-    sequences are closed at once as the counts allow; every such step uses up a length, so the steps don't grow with the corpus.
-    What no combination fills exactly is then packed by best fit, again many sequences at once.
+    Longest first: the gap a length leaves is looked up among the sums, and as many sequences are closed at once as the
+    counts allow; every such step uses up a length, so the steps don't grow with the corpus. What no combination fills exactly
+    is then packed by best fit, again many sequences at once.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     if any(n > size or n < 1 for n in left):
         raise ValueError("a length outside 1..size")
     made: list[tuple[int, tuple[int, ...]]] = []
-    there = np.zeros(size + 1, bool)
-    there[list(left)] = True
+    sums = Sums(list(left), size)
 
     def take(lengths: tuple[int, ...]) -> bool:
-        need: dict[int, int] = {}
-        for n in lengths:
-            need[n] = need.get(n, 0) + 1
+        """Closes as many sequences of these lengths as there are; False if a length that repeats is too rare."""
+        need = Counter(lengths)
         times = min(left.get(n, 0) // k for n, k in need.items())
         if times:
             made.append((times, lengths))
@@ -148,17 +188,14 @@ def _plan(counts: dict[int, int], size: int, parts: int) -> list[tuple[int, tupl
                 left[n] -= times * k
                 if not left[n]:
                     del left[n]
-                    there[n] = False
+                    sums.used_up(n)
         return times > 0
 
-    for first in range(size, 0, -1):
-        if first in left and first == size:
-            take((first,))
-        while parts and first in left and (gap := size - first):
-            if there[gap] and take((first, gap)):
-                continue
-            if not any(_fill(gap, first, there, take, n) for n in range(2, parts + 1)):
-                break
+    take((size,))
+    for find in (sums.singles, sums.pairs, sums.triples)[:parts]:
+        for first in range(size - 1, 0, -1):
+            while first in left and any(take((first, *rest)) for rest in find(size - first)):
+                pass
     # best fit on what is left: a class of sequences with equal contents is filled as one
     open_: dict[int, list[list]] = {}
     gaps: list[int] = []
@@ -186,27 +223,6 @@ def _plan(counts: dict[int, int], size: int, parts: int) -> list[tuple[int, tupl
     return made + [(times, lengths) for groups in open_.values() for times, lengths in groups]
 
 
-def _fill(gap: int, first: int, there: np.ndarray, take, parts: int) -> bool:
-    """Fills a gap exactly by two or three lengths that are there, the longest such first; False if none can."""
-    lengths = np.flatnonzero(there[: gap + 1])
-    if parts == 2:
-        mates = gap - lengths
-        good = lengths[(mates > 0) & (mates <= lengths) & there[np.maximum(mates, 0)]]
-        return any(take((first, int(n), gap - int(n))) for n in good[::-1][:64].tolist())
-    for n in lengths[::-1].tolist():
-        rest = gap - n
-        if 3 * n < gap:
-            break
-        if rest < 2:
-            continue
-        low = lengths[lengths <= min(rest - 1, n)]
-        mates = rest - low
-        good = low[(mates <= low) & there[np.maximum(mates, 0)]]
-        if any(take((first, n, int(m), rest - int(m))) for m in good[::-1][:8].tolist()):
-            return True
-    return False
-
-
 def _open(open_: dict[int, list[list]], gaps: list[int], gap: int, group: list) -> None:
     if gap not in open_:
         open_[gap] = []
