@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,13 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset and all run on this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Counted rows of a table that is broadcast; one with more is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows; rows is its count."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df bears."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -96,7 +121,7 @@ def fold_of(column: str, folds: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % folds
 
 
-def slices(column: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) of a large_string column, nulls as empty texts, about `most` bytes a part; a longer text is a part by itself."""
     column = column.cast(pa.large_string()).fill_null("")
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))

@@ -15,13 +15,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, maybe_broadcast
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingle sets as similar as SIMILARITY differ in 10 of 64 bits on average, with a deviation of 3.
 RADIUS = 20
-#: Counted rows of a table that is broadcast; one with more is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -52,10 +50,6 @@ def _similarity(a: str, b: str) -> F.Column:
     return shared / (F.size(x) + F.size(y) - shared)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and item that a window of the document resembles the most similar, first window.
 
@@ -87,7 +81,7 @@ def _leaks_of_width(own: DataFrame, items: DataFrame, width: int, similarity: fl
     items = checkpoint(items.withColumn("item", F.monotonically_increasing_id()).withColumn("item_print", simhash("item_shingles")))
     # an item's shingle stands for its first place only; each place in a document then gives one offset
     anchors = checkpoint(items.select("item", "size", F.posexplode("item_shingles").alias("place", "hash")).groupBy("item", "size", "hash").agg(F.min("place").alias("place")))
-    anchors = _maybe_broadcast(anchors, anchors.count())
+    anchors = maybe_broadcast(anchors, anchors.count())
     # the text's hash is part of the key, since ids may be null or repeated
     keyed = own.withColumn("version", F.xxhash64("text"))
     # hashing behind the explode stays in generated code; the outer form keeps the optimiser from splitting the text twice
@@ -100,12 +94,12 @@ def _leaks_of_width(own: DataFrame, items: DataFrame, width: int, similarity: fl
     candidates = checkpoint(shared.filter(F.col("shared") >= need - 1e-6).select("doc_id", "version", "item"))
     rows = candidates.count()
     ids = candidates.select("doc_id", "version").distinct()
-    hit = keyed.join(_maybe_broadcast(ids, rows), _same(keyed, ids, "doc_id", "version"), "left_semi").dropDuplicates(["doc_id", "version"])
+    hit = keyed.join(maybe_broadcast(ids, rows), _same(keyed, ids, "doc_id", "version"), "left_semi").dropDuplicates(["doc_id", "version"])
     hit = checkpoint(hit.withColumn("words", words("text")).withColumn("hashes", shingles("words", width)).select("doc_id", "version", "hashes", F.size("words").alias("n")))
     places = hit.select("doc_id", "version", "n", F.posexplode("hashes").alias("at", "hash")).join(anchors, "hash")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n") - F.col("size"))).alias("start_word")
-    starts = places.join(_maybe_broadcast(candidates, rows), _same(places, candidates, "doc_id", "version", "item"), "left_semi").select("doc_id", "version", "item", start).distinct()
-    met = starts.join(hit, _same(starts, hit, "doc_id", "version")).select(starts["doc_id"], "item", "start_word", "n", "hashes").join(_maybe_broadcast(items, items.count()), "item")
+    starts = places.join(maybe_broadcast(candidates, rows), _same(places, candidates, "doc_id", "version", "item"), "left_semi").select("doc_id", "version", "item", start).distinct()
+    met = starts.join(hit, _same(starts, hit, "doc_id", "version")).select(starts["doc_id"], "item", "start_word", "n", "hashes").join(maybe_broadcast(items, items.count()), "item")
     n_words = F.least("size", "n")
     windows = met.select("doc_id", "item_id", "start_word", n_words.alias("n_words"), "item_shingles", "item_print", F.slice("hashes", F.col("start_word") + 1, n_words - width + 1).alias("own"))
     near = windows.filter(F.bit_count(simhash("own").bitwiseXOR(F.col("item_print"))) <= radius)

@@ -118,9 +118,10 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         starts, base_labels, spans = [], set(), []
         for phrase, label in self.base:
-            n = phrase.count(b" ") + 1
+            n, word, counted = phrase.count(b" ") + 1, 0, 0
             for at in self._places(line, b" " + phrase + b" "):
-                word = line.count(b" ", 0, at)
+                word += line.count(b" ", counted, at)  # places come in order, so the text is counted through once
+                counted = at
                 starts.append(word)
                 base_labels.add(label)
                 spans.append((word, word + n, label))
