@@ -101,8 +101,8 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """Up to per_label documents of each label (0, 1) that have at most most_chars characters, as (id, text, label), and how many rows each label has.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_chars: int, id_col: str = "doc_id", text_col: str = "text", more: str | None = None) -> tuple[list[tuple], dict[int, int]]:
+    """Up to per_label documents of each label (0, 1) that have at most most_chars characters, as (id, text, label) and, if asked for, the least value of column `more`; and how many rows each label has.
 
     Which ones is decided by a hash of the id, so it doesn't hang on the order of rows. Only rows of `labels` whose label is
     not null count; an id with both labels counts as 1. At most 2 * per_label texts reach the driver.
@@ -111,9 +111,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     totals = {r[0]: r[1] for r in own.groupBy("_label").count().collect()}
     order = (F.xxhash64("_id"), "_id")
     picked = own.filter("_label = 0").orderBy(*order).limit(per_label).union(own.filter("_label = 1").orderBy(*order).limit(per_label))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").isNotNull() & (F.char_length("_text") <= most_chars))
-    found = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
-    return sorted((r["_id"], r["_text"], r["_label"]) for r in found.collect()), totals
+    extra = F.lit(None) if more is None else F.col(more)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), extra.cast("string").alias("_more")).filter(F.col("_text").isNotNull() & (F.char_length("_text") <= most_chars))
+    found = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"), F.min("_more").alias("_more"))
+    rows = [(r["_id"], r["_text"], r["_label"]) + ((r["_more"],) if more else ()) for r in found.collect()]
+    return sorted(rows, key=lambda r: r[:3]), totals
 
 
 def fold_of(column: str, folds: int) -> F.Column:
