@@ -8,6 +8,7 @@ length is the exact sum of those of its words, each worked out once. The shortes
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import WordRows, append_columns, coded_words, kept, slices, sums
 
 ORDER = 4
-#: Training texts per language and their greatest length; the fit uses no more, however large the input.
-PER_LANGUAGE, MOST_CHARS = 400, 4000
+#: Training texts per language, their greatest length, and languages; the fit uses no more, however large the input.
+PER_LANGUAGE, MOST_CHARS, MOST_LANGUAGES = 400, 4000, 64
 UNKNOWN = "und"
 #: ASCII upper case to lower case; what is neither an ASCII letter nor non-ASCII becomes a space.
 LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -85,16 +86,23 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trees from up to per_language texts of each non-null language, of at most most_chars characters each, picked by a hash of the id."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    own = own.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & (F.char_length("_text") <= most_chars))
-    own = own.withColumn("_hash", F.xxhash64("_id")).withColumn("_salt", F.pmod("_hash", F.lit(64)))
-    order = ("_hash", "_id", "_text")
-    # first within salts, so that a language with most of the texts isn't ranked by one task
-    for keys in (["_lang", "_salt"], ["_lang"]):
-        own = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= per_language)
-    found = own.select("_lang", "_text").collect()
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS, most_languages: int = MOST_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Trees from up to per_language texts of each non-null language, of at most most_chars characters each, picked by a hash of id and text.
+
+    Texts without a letter teach nothing, rows that repeat id and text count once. Of more than most_languages languages those
+    with most texts are learned, ties by name. From an empty table nothing is learned.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    own = own.filter(F.col("lang").isNotNull() & (F.char_length("text") <= most_chars) & F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("id", "text"))
+    often = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not often:
+        return Model([], [])
+    # so many texts are looked at that per_language are surely among them, whatever the size of the language; only these are shuffled
+    enough = per_language + 8 * math.sqrt(per_language) + 8
+    share = F.create_map(*[F.lit(x) for r in often for x in (r["lang"], min(1.0, enough / r["count"]))])
+    own = own.filter(F.pmod("hash", F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * (1 << 30)).dropDuplicates(["lang", "hash"])
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))).filter(F.col("n") <= per_language)
+    found = own.select("lang", "text").collect()
     texts: dict[str, list[str]] = {}
     for lang, text in sorted(found):
         texts.setdefault(lang, []).append(text)
