@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, linededup, lmscore
@@ -108,14 +109,15 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert got & ((1 << 64) - 1) == want
 
 
-def test_lm_scores_equal_plain_counts(spark):
+@pytest.mark.parametrize("hot_share", [lmscore.HOT_SHARE, 0.05, 2.0])  # all pairs are hot, some, none
+def test_lm_scores_equal_plain_counts(spark, hot_share):
     rng = random.Random(4)
     make = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))
     target = [make(["alpha", "beta", "Gamma"]) for _ in range(20)] + [None]
     docs = [(k, make(["alpha", "beta", "delta", "é"])) for k in range(40)] + [(50, None), (51, ""), (52, "one"), (53, "a b " * 5000), (1, None)]
     docs[-1] = (0, docs[0][1])
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, key int").repartition(3)
-    got = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.score(df, spark.createDataFrame([(t,) for t in target], "text string")).collect())
+    got = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.score(df, spark.createDataFrame([(t,) for t in target], "text string"), hot_share=hot_share).collect())
 
     def model(texts):
         uni, pairs, context = Counter(), Counter(), Counter()
