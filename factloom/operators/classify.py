@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.rules import RuleSet, pattern
-from ..functions.text import digits
+from ..functions.text import digits, normalize
 
 
 def mapped(key: Column, table: dict, default=None) -> Column:
@@ -95,8 +96,7 @@ def is_garbage(rules: RuleSet, name: Column, kind: Column) -> Column:
 
 
 def is_bank(rules: RuleSet, name: Column) -> Column:
-    low = F.lower(F.trim(name))
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in rules.banks])
+    return F.lower(F.trim(name)).rlike("|".join(re.escape(w) for w in rules.banks))
 
 
 def is_authoritative(domain: Column) -> Column:
@@ -159,6 +159,18 @@ def canonical_id(name: Column, kind: Column, code: Column) -> Column:
     return F.when(F.coalesce(code, F.lit("")) != "", market_code(code)).when(kind == "stock", F.concat(F.lit("stock_pending:"), F.lower(F.trim(name)))).otherwise(F.concat(kind, F.lit(":"), F.trim(name)))
 
 
+def entity_id(name: Column, kind: Column, code: Column) -> Column:
+    """The id an ingest gives: stocks by their market code or as pending, funds outside the exchange by their code, all else as type:name, normalised."""
+    coded = F.coalesce(code, F.lit("")) != ""
+    plain = normalize(name)
+    return (
+        F.when((kind == "stock") & coded, market_code(code))
+        .when(kind == "stock", F.concat(F.lit("stock_pending:"), plain))
+        .when(coded & F.upper(code).contains(".OF"), market_code(code))
+        .otherwise(F.concat(kind, F.lit(":"), plain))
+    )
+
+
 def pricing_frame(snapshot: DataFrame) -> DataFrame:
     """snapshot with frame and weight, by a decision list over nullable measures.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_grams, coverage, normalize, recency
+from ..lineage import placed
 from .classify import grade_rank
 
 
@@ -43,6 +44,6 @@ def diversify(scored: DataFrame, order: str = "pos", limit: int | None = None) -
         out = out.filter(F.col("round") <= limit)
     out = out.withColumn("tier", F.when(F.col("level").isin("A", "B+", "B"), 0).otherwise(1))
     keys = ["round", "tier", F.desc("score"), order]
-    if limit is not None:
-        out = out.orderBy(*keys).limit(limit)
-    return out.withColumn("place", F.row_number().over(Window.orderBy(*keys))).drop("_kind")
+    if limit is None:
+        return placed(out, keys, "place").drop("_kind")
+    return out.orderBy(*keys).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*keys))).drop("_kind")  # limit rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RuleSet
@@ -10,16 +10,30 @@ from ..functions.text import stable_id
 from .classify import stance
 
 
-def watch_hits(fragments: DataFrame, terms: DataFrame, block: int = 2) -> DataFrame:
-    """fragments (text and more) with each watched term (column term) that their text contains.
+#: So many terms are looked for in every text, one after the other; more meet the texts on their first characters.
+FEW_TERMS = 1000
 
-    Terms and texts meet on the term's first characters, an equi join; containment is checked after.
+
+def watch_hits(fragments: DataFrame, terms: DataFrame, block: int = 2, few: int = FEW_TERMS) -> DataFrame:
+    """fragments (text and more) with each watched term (column term) that their text contains, each row once.
+
+    Many terms meet texts on their first characters, an equi join of a key and grams; the text comes back for the check only.
     """
+    known = terms.filter("term <> ''").select("term").distinct()
+    listed = [r["term"] for r in known.limit(few + 1).collect()]
+    if len(listed) <= few:
+        return fragments.withColumn("term", F.explode(terms_in(F.col("text"), listed))).dropDuplicates()
+    rows = fragments.dropDuplicates().withColumn("_k", F.xxhash64(*fragments.columns))
     grams = F.when(F.length("text") >= block, F.transform(F.sequence(F.lit(1), F.length("text") - block + 1), lambda i: F.substring(F.col("text"), i, F.lit(block)))).otherwise(F.array().cast("array<string>"))
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    spread = fragments.withColumn("_g", F.explode(F.array_distinct(F.concat(grams, chars))))
-    keyed = terms.filter("term <> ''").select("term", F.substring("term", 1, block).alias("_g"))
-    return spread.join(keyed, "_g").filter(F.col("text").contains(F.col("term"))).drop("_g").dropDuplicates()
+    spread = rows.select("_k", F.explode(F.array_distinct(F.concat(grams, chars))).alias("_g"))
+    keyed = known.select("term", F.substring("term", 1, block).alias("_g"))
+    return rows.join(spread.join(keyed, "_g").select("_k", "term").distinct(), "_k").filter(F.col("text").contains(F.col("term"))).drop("_k")
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Those of a few terms that a text contains."""
+    return F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: text.contains(t))
 
 
 def raw(fragments: DataFrame, hits: DataFrame) -> DataFrame:
@@ -29,9 +43,14 @@ def raw(fragments: DataFrame, hits: DataFrame) -> DataFrame:
     return own.join(named, "raw_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def items(rules: RuleSet, hits: DataFrame) -> DataFrame:
-    """One item per fragment and term: stance, a claim of 60 characters, grade D, unverifiable; equal ones once."""
-    out = hits.select(F.col("term").alias("canonical_id"), "text", "timestamp", stance(rules, F.col("text")).alias("stance"), F.substring("text", 1, 60).alias("claim"))
+def items(rules: RuleSet, hits: DataFrame, told: Column | None = None) -> DataFrame:
+    """One item per fragment and term: stance, a claim of 60 characters, grade D, unverifiable; equal ones once.
+
+    told is a column of hits with a stance found elsewhere; where it is one of the three, it wins over the words.
+    """
+    by_words = stance(rules, F.col("text"))
+    by_words = by_words if told is None else F.when(told.isin("bullish", "bearish", "neutral"), told).otherwise(by_words)
+    out = hits.select(F.col("term").alias("canonical_id"), "text", "timestamp", by_words.alias("stance"), F.substring("text", 1, 60).alias("claim"))
     return out.withColumn("item_id", stable_id(F.col("canonical_id"), F.col("timestamp"), F.col("text"))).withColumn("level", F.lit("D")).withColumn("unverifiable", F.lit(True)).dropDuplicates(["item_id"])
 
 

@@ -227,7 +227,7 @@ d AS (SELECT *, CASE WHEN card_type = 'company' THEN CASE WHEN ti > 0 THEN CASE
 SELECT doc_id, pos::BIGINT AS pos, coalesce(CASE WHEN own <> '' AND NOT {V.GARBAGE('own', "'concept'")} THEN own END,
   CASE WHEN regexp_matches(t, {quoted(LATIN.disclaimer)}) THEN NULL WHEN regexp_matches(t, {quoted(LATIN.anaphor)}) OR (regexp_matches(t, {quoted(LATIN.relationship)}) AND h = 1) THEN main ELSE coalesce(named, main) END, nullif(broker, ''), {quoted(R.UNKNOWN_SUBJECT)}) AS subject FROM d""")
 def subject_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = attribution.attribute(LATIN, cards.findings(_cards(spark, sf_dir)))
+    f = attribution.attribute(LATIN, cards.findings(_cards(spark, sf_dir), rules=LATIN))
     return f.select("doc_id", F.col("pos").cast("long").alias("pos"), "subject")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import CARD_KIND
+from ..functions.rules import CARD_KIND, RuleSet
+from ..operators.attribution import subject_entities
 from ..operators.classify import mapped
 
 SCHEMA = """id STRING, type STRING, date STRING, broker STRING, title STRING,
@@ -22,8 +23,14 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
     return objects.select("file", F.from_json(F.to_json("v"), SCHEMA).alias("card")).select("file", "card.*")
 
 
-def findings(cards: DataFrame, order: str = "id") -> DataFrame:
-    """Findings, then factors, of each card in order: doc_id, pos, claim, evidence, numbers, own (entity names), page, source_kind, valid_at, broker."""
+def findings(cards: DataFrame, order: str = "id", rules: RuleSet | None = None) -> DataFrame:
+    """Findings, then factors, of each card in order: doc_id, pos, claim, evidence, numbers, own (entity names), page, source_kind, valid_at, broker.
+
+    With rules the entities that can be a subject are worked out too, once a card (column subjects).
+    """
+    if rules is not None:
+        cards = cards.withColumn("subjects", subject_entities(rules, F.col("entities"), F.col("broker")))
+    more = [] if rules is None else ["subjects"]
     kind = F.coalesce(mapped(F.col("type"), CARD_KIND), F.lit("broker_research"))
     none = lambda c: F.coalesce(c, F.lit(""))
     number = "array<struct<value:string,context:string,page:int,_v:string>>"
@@ -40,7 +47,7 @@ def findings(cards: DataFrame, order: str = "id") -> DataFrame:
 
     listed = F.coalesce(F.transform(F.filter("findings", lambda f: none(f["claim"]) != ""), from_finding), F.array())
     factors = F.coalesce(F.transform(F.filter("factors", lambda f: none(f["name"]) != ""), from_factor), F.array())
-    return cards.select(F.col(order).alias("doc_id"), F.col("type").alias("card_type"), "title", none(F.col("broker")).alias("broker"), none(F.col("date")).alias("valid_at"), kind.alias("source_kind"), "entities", F.posexplode(F.concat(listed, factors)).alias("pos", "f")).select("doc_id", "pos", "card_type", "title", "broker", "valid_at", "source_kind", "entities", "f.*")
+    return cards.select(F.col(order).alias("doc_id"), F.col("type").alias("card_type"), "title", none(F.col("broker")).alias("broker"), none(F.col("date")).alias("valid_at"), kind.alias("source_kind"), "entities", *more, F.posexplode(F.concat(listed, factors)).alias("pos", "f")).select("doc_id", "pos", "card_type", "title", "broker", "valid_at", "source_kind", "entities", *more, "f.*")
 
 
 def fragments(lines: DataFrame, column: str = "value") -> DataFrame:
