@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import checkpoint, maybe_broadcast, shared_dir
+
+__all__ = ["WordIds", "WordRows", "append_columns", "blobs", "checkpoint", "coded", "coded_words", "fold_of", "free", "kept", "labelled_sample", "maybe_broadcast", "recoded", "release", "remove", "shared_dir", "ship", "slices", "sums", "table"]
+
 #: Upper-case ASCII becomes lower case; every byte that is neither a digit, a letter nor non-ASCII becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -23,44 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset and all run on this machine."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of intermediate data, wherever it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Counted rows of a table that is broadcast; one with more is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has few rows; rows is its count."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def free(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df bears."""
     taken = {c.lower() for c in df.columns}
     return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n not in taken)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session: its functions are pickled by name."""
     context = spark.sparkContext

@@ -28,7 +28,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a shard, about; one with more than RINGS times as many is cut into rings, so often at most.
 SHARD, RINGS, CUTS = 1024, 4, 3
 #: Fingerprints of a tree's node that are compared all with all.
-LEAF = 24
+LEAF = 96
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (256 * np.arange(8)).astype(np.int64)
 
@@ -175,6 +175,7 @@ def link(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, cuts: int
     Only prints that link with another one appear. A shard still too large after `cuts` cuts is solved by one task; what is
     known to belong together isn't compared again there, so a dense group costs little more than its size.
     """
+    prints = checkpoint(prints)
     signed = [m - (1 << 64) if m >> 63 else m for m in _masks(prints.count(), radius, shard)]
     parts = F.array(*[F.struct(F.lit(k).alias("part"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)])
     rows = prints.select("print", F.explode(parts).alias("s")).select("print", F.concat_ws("/", "s.part", "s.value").alias("shard"))
@@ -215,7 +216,9 @@ def link(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, cuts: int
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     ship(prints.sparkSession)
-    edges = rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(shards, "u long, v long")
+    # a task's work is its pairs of rows, not its bytes, by which small partitions would be put together
+    tasks = max(1, math.ceil(rows.count() / (16 * shard)))
+    edges = rows.repartition(tasks, "shard").sortWithinPartitions("shard").mapInPandas(shards, "u long, v long")
     return components(edges).select(F.col("node").alias("print"), "root")
 
 
@@ -224,7 +227,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = checkpoint(fingerprints(slim, "text", shingle).select("doc_id", "text_key", "fingerprint"))
     printed = found.withColumn("print", _as_long("fingerprint"))
-    roots = checkpoint(link(checkpoint(printed.select("print").distinct()), radius))
+    roots = checkpoint(link(printed.select("print").distinct(), radius))
     out = printed.join(maybe_broadcast(roots, roots.count()), "print", "left")
     return out.select("doc_id", "text_key", "fingerprint", F.coalesce("root", "print").alias("group"))
 

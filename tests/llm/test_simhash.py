@@ -89,3 +89,36 @@ def test_keep_one(spark):
     assert got.columns == ["doc_id", "text", "print"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 3), (False, 7), (True, 0)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tree_prunes_by_triangle_bounds():
+    rng = random.Random(7)
+    low = (1 << 54) - 1  # as in a shard: ten bits are shared
+    prints = sorted({p & low for p in noisy(rng, 3000)})
+    tally = {}
+    assert simhash.tree_components(np.array(prints, np.uint64), tally=tally).tolist() == brute_components(prints)
+    assert tally["cuts"] > 100 and tally["pairs"] < 0.5 * len(prints) * (len(prints) - 1) / 2
+    dense = np.array(sorted({rng.getrandbits(12) for _ in range(4000)}), np.uint64)  # one group: what belongs together isn't compared again
+    assert not simhash.tree_components(dense, tally=tally).any() and tally["pairs"] < 0.1 * len(dense) ** 2 / 2
+
+
+def test_shards_hold_enough_for_the_tree():
+    for n, agree in ((10, 1), (10_000, 1), (1_000_000, 1), (100_000_000, 2), (10_000_000_000, 3)):
+        masks = simhash._masks(n, 4, simhash.SHARD)
+        bits = {m.bit_count() for m in masks}
+        assert len(bits) == 1 and n / 2 ** bits.pop() <= simhash.SHARD
+        rng = random.Random(n)
+        for _ in range(200):  # a pair within the radius agrees on one mask at least
+            differ = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not differ & m for m in masks)
+        assert len(masks) <= {1: 5, 2: 15, 3: 35}[agree]
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    rows = [(5, a, 1, "x"), (5, b, 2, "x"), (4, a, 3, "x"), (9, b, 4, "x"), (5, b, 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _first int, text_key string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id, r.text) for r in got.collect())
+    assert kept == [(4, a), (5, b)]
