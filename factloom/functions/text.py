@@ -80,3 +80,14 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda n, v: n + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def first_json(s: Column) -> Column:
+    """The first balanced JSON object in a text, as text, from its first brace; null if there is none.
+
+    Every closing brace is tried until what stands before it parses, so braces inside texts do no harm.
+    """
+    start = F.instr(s, "{")
+    body = F.when(start > 0, F.substring(s, start, F.length(s)))
+    ends = F.filter(F.sequence(F.lit(1), F.length(body)), lambda i: F.substring(body, i, F.lit(1)) == "}")
+    return F.get(F.filter(F.transform(ends, lambda i: F.substring(body, F.lit(1), i)), lambda x: F.try_parse_json(x).isNotNull()), 0)

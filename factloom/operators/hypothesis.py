@@ -26,3 +26,13 @@ def ingest_report(findings: DataFrame) -> DataFrame:
     """One row of counters: findings by category, with doubts, with high doubts."""
     count = lambda c: F.count_if(F.col("category") == c)
     return findings.agg(F.count("*").alias("findings"), count("hard_fact").alias("hard_facts"), count("quant_fact").alias("quant_facts"), count("structure").alias("structures"), count("background").alias("background"), F.count_if("doubted").alias("doubts"))
+
+
+def next_number(hypotheses: DataFrame) -> int:
+    """The number of the next hypothesis: one more than the greatest; other ids than H and digits don't count."""
+    return 1 + (hypotheses.agg(F.max(F.regexp_extract(F.col("hyp_id").cast("string"), r"^H?(\d+)$", 1).try_cast("int"))).first()[0] or 0)
+
+
+def listed(hypotheses: DataFrame, evidence: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """hypotheses with n_evidence, confidence and status, from the logs of evidence and resolutions: nothing is ever changed in place."""
+    return status(confidence(hypotheses, evidence), resolutions)

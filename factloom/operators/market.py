@@ -54,6 +54,37 @@ def peer_alpha(found: DataFrame, peers: DataFrame) -> DataFrame:
     return out.select("code", "ret", "peer_median", (F.col("ret") - F.col("peer_median")).alias("alpha"))
 
 
+def index_alpha(found: DataFrame, index: DataFrame) -> DataFrame:
+    """found (code, ret) with index_ret and alpha, the return in excess of an index's (one row: ret); null without the index."""
+    return found.join(F.broadcast(index.select(F.col("ret").alias("index_ret")).limit(1)), F.lit(True), "left").withColumn("alpha", F.col("ret") - F.col("index_ret"))
+
+
+def environment(prices: DataFrame, valuations: DataFrame, index: DataFrame, peers: DataFrame | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Per code the snapshot that pricing_frame() reads, rounded half to even as vendors' figures are.
+
+    prices: code, close, volume and the order; valuations: code, metric (pb, pe_ttm), close and the order; index: prices of
+    one code; peers: code, peer. A code with under eleven prices has no returns; under sixty volumes no ratio; up to ten valuations none.
+    """
+    last = lambda df, c: df.groupBy("code").agg(F.max_by(c, F.struct(*order)).alias(c), F.count("close").alias("n"))
+    ten, five = (latest_return(prices, n, order).withColumn("ret", F.bround("ret", 1)) for n in (10, 5))
+    spread = last(range_position(prices, order=order), "position").filter("n >= 11").select("code", F.bround("position", 0).alias("range_pct_250"))
+    volume = last(volume_ratio(prices, order=order), "ratio").select("code", F.bround("ratio", 2).alias("vol_ratio"))
+    base = latest_return(index, 10, order).select(F.bround("ret", 1).alias("ret"))
+    beta = index_alpha(ten, base).select("code", F.bround("alpha", 1).alias("alpha_10d"))
+    out = prices.select("code").distinct().join(five.withColumnRenamed("ret", "ret_5d"), "code", "left").join(ten.withColumnRenamed("ret", "ret_10d"), "code", "left")
+    for part in (spread, volume, beta):
+        out = out.join(part, "code", "left")
+    if peers is not None:
+        out = out.join(peer_alpha(ten, peers).select("code", F.bround("alpha", 1).alias("peer_alpha_10d")), "code", "left")
+    else:
+        out = out.withColumn("peer_alpha_10d", F.lit(None).cast("double"))
+    for name in ("pb", "pe_ttm"):
+        own = latest_percentile(valuations.filter(F.col("metric") == name), order=order)
+        more = [F.bround("percentile", 0).alias("pb_pct_3y")] if name == "pb" else [(F.col("last") < 0).alias("loss_making"), F.bround("loss_share", 0).alias("loss_frac_3y")]
+        out = out.join(own.select("code", F.bround("last", 2).alias(name), *more), "code", "left")
+    return out
+
+
 def reweight(rules: RuleSet, facts: DataFrame, group: str, samples: int = 4) -> DataFrame:
     """Per group: fast and slow facts, and the first fast claims (36 characters) by fact_id."""
     own = facts.withColumn("speed", fact_speed(rules, F.col("claim")))

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-from . import findings, ledger, market, recall, sentiment  # noqa: E402, F401  they register themselves
+from . import findings, ledger, market, recall, sentiment, stores  # noqa: E402, F401  they register themselves
