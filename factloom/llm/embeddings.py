@@ -1,9 +1,10 @@
 """Embedding near-dedup (operator 7): robust-pruned flat graphs over overlapping cluster shards, searched greedily from medoids.
 
 Equal vectors of a label are one class. Each class goes to the cells of its label's nearest pivots, so cells overlap; a cell with too
-many classes is split into parts by hash, and each class of the cell is a query in every part. Each part builds a graph of its own
-members; a class's adjacency lists are then united over its cells. A search starts at the part's medoid, follows the nearest
-neighbours, then widens over all that is within the range. What it finds is verified by the exact cosine. A part gives back
+many classes is split again around pivots of its own. What is still too large is a dense group, whose members pivots can't part:
+it is cut into blocks, and each pair of blocks is a task, one of them searched for the other. Each block builds a graph of its own
+members; a class's adjacency lists are then united over its cells. A search starts at the block's medoid, follows the nearest
+neighbours, then widens over all that is within the range. What it finds is verified by the exact cosine. A task gives back
 how many a query found and whom it belongs with, never the pairs.
 """
 
@@ -23,8 +24,10 @@ from .components import components
 from .simhash import _Sets
 
 COSINE = 0.93
-#: Classes of a graph, about; cells a class goes to; most pivots there are; neighbours of a node; width of the greedy search.
-SHARD, CELLS, PIVOTS, DEGREE, BEAM = 400, 3, 8192, 24, 32
+#: Classes of a graph, about; cells a class goes to; cells of a split cell it goes to; most pivots there are at either level; neighbours of a node; width of the greedy search.
+SHARD, CELLS, INNER, PIVOTS, DEGREE, BEAM = 400, 3, 2, 8192, 24, 32
+#: Classes of a block of a dense cell, in shards, and numbers that a cell's own cells have.
+DENSE, _CELL = 4, 1 << 20
 #: Pruning slack, and how far under the range the search still widens.
 ALPHA, SLACK = 1.2, 0.06
 
@@ -44,21 +47,26 @@ def _unit(frame: pd.Series) -> np.ndarray:
 
 
 def prune(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Robust-pruned out-neighbours of each unit vector: the nearest left, without those that it is alpha times nearer to."""
-    out = []
-    for p in range(len(vectors)):
-        far = 1 - vectors @ vectors[p]
-        far[p] = np.inf
-        order = np.argsort(far, kind="stable")[:-1]
-        chosen = []
-        while len(order) and len(chosen) < degree:
-            best = order[0]
-            chosen.append(best)
-            order = order[1:]
-            if len(order):
-                order = order[alpha * (1 - vectors[order] @ vectors[best]) > far[order]]
-        out.append(np.array(chosen, np.int64))
-    return out
+    """Robust-pruned out-neighbours of each unit vector: the nearest left, without those that it is alpha times nearer to; all vectors take a step at a time."""
+    n = len(vectors)
+    apart_ = (1 - vectors @ vectors.T).astype(np.float32)
+    left = apart_.copy()
+    np.fill_diagonal(left, np.inf)
+    chosen = [[] for _ in range(n)]
+    live = np.arange(n)
+    for _ in range(degree):
+        best = left[live].argmin(axis=1)
+        there = np.isfinite(left[live, best])
+        live, best = live[there], best[there]
+        if not len(live):
+            break
+        for p, q in zip(live.tolist(), best.tolist(), strict=True):
+            chosen[p].append(q)
+        rows = left[live]
+        rows[alpha * apart_[best] <= rows] = np.inf
+        rows[np.arange(len(live)), best] = np.inf
+        left[live] = rows
+    return [np.array(c, np.int64) for c in chosen]
 
 
 def search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, starts: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +111,13 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _find(cosine: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        member = frame["member"].to_numpy()
+        member, asks = frame["member"].to_numpy(), np.flatnonzero(frame["query"].to_numpy())
         ids, weight, cell = frame["class"].to_numpy(), frame["n"].to_numpy(), int(frame["cell"].iloc[0])
         vectors = _unit(frame["v"])
         rows = np.flatnonzero(member)
-        out = {"class": ids, "links": np.zeros(len(ids), np.int64), "root": ids}
+        links = np.zeros(len(ids), np.int64)
         if not len(rows) or len(ids) < 2:
-            return pd.DataFrame(out)
+            return pd.DataFrame({"class": ids, "links": links, "root": ids})
         at = {c: k for k, c in enumerate(ids[rows])}
         ends = [(k, at[c]) for k, near in enumerate(frame["near"].to_numpy()[rows]) if near is not None for c in near if c in at]
         # edges count both ways: a node that none of its neighbours chose stays reachable
@@ -120,8 +128,8 @@ def _find(cosine: float):
         medoid = int((vectors[rows] @ vectors[rows].sum(axis=0)).argmax())
         cells = frame["cells"].to_numpy()
         sets = _Sets(len(ids))
-        for first in range(0, len(ids), 1000):
-            own = np.arange(first, min(first + 1000, len(ids)))
+        for first in range(0, len(asks), 1000):
+            own = asks[first : first + 1000]
             starts = np.full((len(own), 2), medoid, np.int64)
             starts[:, 1] = [at.get(c, -1) for c in ids[own]]  # a member is an entry to its own surroundings
             q, m = search(vectors[rows], neighbours, vectors[own], starts, cosine)
@@ -131,9 +139,63 @@ def _find(cosine: float):
             sets.link(a, b)
             # a pair that shares several cells counts in the least of them
             mine = np.array([min(set(cells[x]) & set(cells[y])) == cell for x, y in zip(a, b, strict=True)], bool) if len(set(map(len, cells))) > 1 or len(cells[0]) > 1 else np.ones(len(a), bool)
-            np.add.at(out["links"], a[mine], weight[b[mine]])
-        out["root"] = ids[sets.root]
-        return pd.DataFrame(out)
+            np.add.at(links, a[mine], weight[b[mine]])
+        return pd.DataFrame({"class": ids, "links": links, "root": ids[sets.root]})
+
+    return run
+
+
+_PLACED = "class long, label string, n long, v array<double>, cells array<long>"
+
+
+def _pivots(rows: DataFrame, share: DataFrame) -> dict[str, np.ndarray]:
+    """Unit vectors by key, as many of each key's rows (class, key, v) as its share asks for, picked by the class; those too near to another are left out."""
+    picked = rows.join(F.broadcast(share), "key").filter(F.pmod("class", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("key", "class", "v").collect()
+    found: dict[str, list] = {}
+    for r in sorted(picked, key=lambda r: (r["key"], r["class"])):
+        found.setdefault(r["key"], []).append(r["v"])
+    out = {}
+    for key, v in found.items():
+        v = np.array(v)
+        out[key] = apart(v / np.linalg.norm(v, axis=1)[:, None])
+    return out
+
+
+def _assign(outer, inner):
+    """Rows (class, label, n, v) with the sorted cells of each; pivots by label, and by label and cell for the cells that are split."""
+
+    def nearest(v: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+        return np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :most]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, split = outer.value, inner.value if inner else {}
+        for batch in batches:
+            labels, v = batch.column(1).to_pylist(), batch.column(3)
+            found = [[0] for _ in labels]
+            rows_of: dict[str, list[int]] = {}
+            for k, x in enumerate(labels):
+                rows_of.setdefault(x, []).append(k)
+            for label, rows in rows_of.items():
+                if label in pivots:
+                    top = nearest(np.array(v.take(pa.array(rows)).to_pylist()), pivots[label], CELLS)
+                    for k, x in zip(rows, top.tolist(), strict=True):
+                        found[k] = x
+            if split:
+                into: dict[str, list[tuple[int, int]]] = {}
+                for k, x in enumerate(found):
+                    for cell in x:
+                        into.setdefault(f"{labels[k]}/{cell}", []).append((k, cell))
+                found = [[] for _ in labels]
+                for key, rows in into.items():
+                    if key in split:
+                        top = nearest(np.array(v.take(pa.array([k for k, _ in rows])).to_pylist()), split[key], INNER)
+                        for (k, cell), x in zip(rows, top.tolist(), strict=True):
+                            found[k] += [(cell + 1) * _CELL + y for y in x]
+                    else:
+                        for k, cell in rows:
+                            found[k].append(cell)
+            cells = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), v, cells], names=["class", "label", "n", "v", "cells"])
 
     return run
 
@@ -156,36 +218,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     total = classes.count()
     size = max(shard, math.ceil(CELLS * total / PIVOTS))
     large = {r[0]: r[1] for r in classes.groupBy("label").count().filter(F.col("count") > size).collect()}  # total / size of them at most
-    pivots: dict[str, np.ndarray] = {}
+    pivots = {}
     if large:
-        share = spark.createDataFrame([(k, CELLS / size) for k in large], "label string, share double")
-        picked = classes.join(F.broadcast(share), "label").filter(F.pmod("class", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("label", "class", "v").collect()
-        for label in large:
-            if mine := [r["v"] for r in sorted(picked, key=lambda r: r["class"]) if r["label"] == label]:
-                v = np.array(mine)
-                pivots[label] = apart(v / np.linalg.norm(v, axis=1)[:, None])
-    shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors, about
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_pivots = shared.value
-        for batch in batches:
-            labels, found = batch.column(1).to_pylist(), [[0]] * batch.num_rows
-            v = batch.column(3)
-            for label in set(labels) & set(own_pivots):
-                mine = [k for k, x in enumerate(labels) if x == label]
-                near = np.array(v.take(pa.array(mine)).to_pylist()) @ own_pivots[label].T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :CELLS]
-                for k, x in zip(mine, top.tolist(), strict=True):
-                    found[k] = sorted(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), v, pa.array(found, pa.list_(pa.int32()))], names=["class", "label", "n", "v", "cells"])
-
-    placed = classes.select("class", "label", "n", "v").mapInArrow(assign, "class long, label string, n long, v array<double>, cells array<int>")
-    placed = checkpoint(placed.select("*", F.explode("cells").alias("cell")))
-    parts = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts")).filter("parts > 1")
-    routed = placed.join(parts, ["label", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    routed = routed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("member", F.pmod("class", "parts") == F.col("part"))
-    routed = checkpoint(routed.drop("parts"))
-    built = routed.filter("member").groupBy("label", "cell", "part").applyInPandas(_build, "class long, near array<long>")
+        share = spark.createDataFrame([(k, CELLS / size) for k in large], "key string, share double")
+        pivots = _pivots(classes.withColumn("key", F.col("label")), share)
+    slim = classes.select("class", "label", "n", "v")
+    placed = checkpoint(slim.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), None), _PLACED).select("*", F.explode("cells").alias("cell")))
+    # cells that are too large get pivots of their own, PIVOTS in all at most
+    crowded = placed.groupBy("label", "cell").count().filter(F.col("count") > 2 * size).select(F.concat_ws("/", "label", "cell").alias("key"), "count")
+    crowded = checkpoint(crowded)
+    rows_there = crowded.agg(F.sum("count")).first()[0] or 0
+    if rows_there:
+        share = crowded.select("key", F.least(F.lit(CELLS / size), F.lit(PIVOTS / rows_there)).alias("share"))
+        inner = _pivots(placed.withColumn("key", F.concat_ws("/", "label", "cell")), share)
+        placed = checkpoint(slim.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), spark.sparkContext.broadcast(inner)), _PLACED).select("*", F.explode("cells").alias("cell")))
+    blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / F.lit(DENSE * size)).cast("int").alias("k")).filter("k > 1")
+    routed = placed.join(blocks, ["label", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("b", F.pmod("class", F.col("k")).cast("int"))
+    # a class is a member in the pairs of its block with each block, and a query in those of each block with its own
+    pair = lambda i, j: F.struct((i * F.col("k") + j).alias("part"), (i == F.col("b")).alias("member"), (j == F.col("b")).alias("query"))
+    others = F.sequence(F.lit(0), F.col("k") - 1)
+    pairs = F.array_distinct(F.concat(F.transform(others, lambda j: pair(F.col("b"), j)), F.transform(others, lambda i: pair(i, F.col("b")))))
+    routed = checkpoint(routed.select("class", "label", "n", "v", "cells", "cell", F.explode(pairs).alias("p")).select("class", "label", "n", "v", "cells", "cell", "p.*"))
+    built = routed.filter("member and query").groupBy("label", "cell", "part").applyInPandas(_build, "class long, near array<long>")
     united = built.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # CELLS lists at most
     found = checkpoint(routed.join(united, "class").groupBy("label", "cell", "part").applyInPandas(_find(cosine), "class long, links long, root long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
@@ -212,6 +266,6 @@ def audit(vectors: DataFrame, found: DataFrame, queries: int = 500, cosine: floa
             near &= (labels[:, None] == frame["label"].to_numpy()) & (ids[:, None] != frame["vec_id"].to_numpy())
             yield pd.DataFrame({"vec_id": ids, "want": near.sum(axis=1)})
 
-    want = own.mapInPandas(count, "vec_id long, want long").groupBy("vec_id").agg(F.sum("want").alias("want"))
+    want = own.mapInPandas(count, f"vec_id {own.schema['vec_id'].dataType.simpleString()}, want long").groupBy("vec_id").agg(F.sum("want").alias("want"))
     got = want.join(found, "vec_id").agg(F.sum(F.least("want", "n_links")), F.sum("want")).first()
     return got[0] / got[1] if got[1] else 1.0

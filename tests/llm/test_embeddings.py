@@ -59,3 +59,37 @@ def test_shards_and_parts_keep_recall(spark):
     n = {r[0]: r[1] for r in want}
     assert all(r[1] <= n[r[0]] for r in found)  # no false links
     assert embeddings.audit(df.filter("vec_id < 9000"), got, 200) >= 0.9
+
+
+def test_dense_groups_are_solved_by_pairs_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    hub = rng.normal(size=24)
+    rows = [(k, [float(x) for x in hub + rng.normal(size=24) * 0.06], 0) for k in range(400)] + [(500 + k, [float(x) for x in rng.normal(size=24)], 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, shard=20).collect()}
+    want = {r[0]: r for r in brute(rows)}
+    assert sum(got[k].n_links for k in got) >= 0.98 * sum(r[1] for r in want.values())
+    assert all(got[k].n_links <= want[k][1] for k in got) and {k: r.component_id for k, r in got.items()} == {k: r[2] for k, r in want.items()}
+
+
+def test_ties_long_vectors_and_text_ids(spark):
+    rows = [(f"v{k:02}", [1.0] * 3000 if k < 4 else [float((j * (k + 1)) % 7 - 3) for j in range(3000)], 1) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")
+    got = embeddings.near_duplicates(df)
+    assert [(r.n_links, r.component_id) for r in got.orderBy("vec_id").collect()][:4] == [(3, "v00")] * 4
+    assert embeddings.audit(df, got, 12) == 1.0
+
+
+def test_prune_keeps_the_nearest_and_spares_the_occluded():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for p, chosen in enumerate(embeddings.prune(v, degree=8)):
+        far = 1 - v @ v[p]
+        left = sorted((x for x in range(60) if x != p), key=lambda x: far[x])
+        want = []
+        while left and len(want) < 8:
+            best = left.pop(0)
+            want.append(best)
+            left = [x for x in left if embeddings.ALPHA * (1 - v[x] @ v[best]) > far[x]]
+        assert chosen.tolist() == want
