@@ -110,12 +110,13 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), epoch_ms_date(F.col("event_id") % 10000000 * 86400000).alias("day"))
 
 
-@query("""WITH p AS (SELECT c_nationkey AS code, c_name AS title, c_mktsegment AS date, c_custkey::VARCHAR AS url FROM customer WHERE c_nationkey % 3 <> 0),
-b AS (SELECT s_nationkey AS code, s_name AS title, 'x' || s_suppkey % 5 AS date, s_suppkey::VARCHAR AS url FROM supplier),
+@query("""WITH p AS (SELECT user_id AS code, event_type AS title, strftime(ts, '%Y-%m-%d') AS date, event_id::VARCHAR AS url FROM events),
+b AS (SELECT o_custkey AS code, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey::VARCHAR AS url FROM orders),
 u AS (SELECT *, 'primary' AS source FROM p UNION ALL SELECT *, 'fallback' FROM b WHERE code NOT IN (SELECT code FROM p))
 SELECT code, title, date, url, source FROM u QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC, title, url) <= 3""")
-def disclosure_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announcements per nation: customers are the primary source, suppliers the fallback; the newest three each."""
-    p = V.table(spark, sf_dir, "customer").filter("c_nationkey % 3 <> 0").select(F.col("c_nationkey").alias("code"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("date"), F.col("c_custkey").cast("string").alias("url"))
-    b = V.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("code"), F.col("s_name").alias("title"), F.concat(F.lit("x"), (F.col("s_suppkey") % 5).cast("string")).alias("date"), F.col("s_suppkey").cast("string").alias("url"))
+def disclosure_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements per customer: events are the primary source, orders the fallback for customers without any; the newest three each."""
+    o, e = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "events")
+    p = e.select(F.col("user_id").alias("code"), F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").cast("string").alias("url"))
+    b = o.select(F.col("o_custkey").alias("code"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderkey").cast("string").alias("url"))
     return cards.disclosures(p, b, 3)

@@ -61,17 +61,17 @@ def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MERGED = f"""{MENTIONS}, ids AS (SELECT canonical_id AS id, row_number() OVER (ORDER BY canonical_id) AS n FROM (SELECT DISTINCT canonical_id FROM r)),
-mg AS (SELECT a.id AS from_id, b.id AS into_id FROM ids a JOIN ids b ON b.n = a.n + 1 WHERE a.n % 4 <> 0)"""
+mg AS (SELECT a.id AS from_id, b.id AS into_id FROM ids a JOIN ids b ON b.n = a.n + 1 WHERE right(a.id, 1) NOT IN ('0', '5'))"""
 
 
 def _merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The registry, and merges of each entity into the next by id, but every fourth."""
+    """The registry, and merges of each entity into the next by id, but for ids that end in 0 or 5."""
     from pyspark.sql import Window
 
     registry = entities.register(LATIN, V.mentions(spark, sf_dir))
     order = Window.orderBy("canonical_id")  # the test tables' registry is small; an engine's merges are given
-    n = registry.select("canonical_id").distinct().select("canonical_id", F.row_number().over(order).alias("n"), F.lead("canonical_id").over(order).alias("into_id"))
-    return registry, n.filter("n % 4 <> 0 and into_id is not null").select(F.col("canonical_id").alias("from_id"), "into_id")
+    n = registry.select("canonical_id").distinct().select("canonical_id", F.lead("canonical_id").over(order).alias("into_id"))
+    return registry, n.filter("right(canonical_id, 1) not in ('0', '5') and into_id is not null").select(F.col("canonical_id").alias("from_id"), "into_id")
 
 
 @query(f"WITH RECURSIVE {_MERGED}, w(id, here, n) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT w.id, into_id, w.n + 1 FROM w JOIN mg ON from_id = here), f AS (SELECT id, arg_max(here, n) AS final FROM w GROUP BY id) SELECT alias, final AS canonical_id FROM r JOIN f ON f.id = canonical_id")
@@ -87,11 +87,11 @@ def watch_terms_unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.watch_terms(registry, ("stock", "company"), merges)
 
 
-@query(f"""WITH {MENTIONS}, o AS (SELECT {NORMAL("p_name")} AS alias, arg_max('hand:' || p_size, p_partkey) AS cid FROM part WHERE p_size % 3 = 0 GROUP BY 1 UNION ALL SELECT 'extra', 'hand:extra')
+@query(f"""WITH {MENTIONS}, o AS (SELECT {NORMAL("p_name")} AS alias, arg_max('hand:' || p_size, p_partkey) AS cid FROM part WHERE p_size > 33 GROUP BY 1 UNION ALL SELECT 'extra', 'hand:extra')
 SELECT coalesce(r.alias, o.alias) AS alias, coalesce(cid, canonical_id) AS canonical_id FROM r FULL JOIN o ON o.alias = r.alias""")
 def alias_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some aliases set by hand, and one added."""
-    p = V.table(spark, sf_dir, "part").filter("p_size % 3 = 0").select(T.normalize(F.col("p_name")).alias("alias"), F.concat(F.lit("hand:"), F.col("p_size").cast("string")).alias("canonical_id"), F.col("p_partkey").alias("seq"))
+    p = V.table(spark, sf_dir, "part").filter("p_size > 33").select(T.normalize(F.col("p_name")).alias("alias"), F.concat(F.lit("hand:"), F.col("p_size").cast("string")).alias("canonical_id"), F.col("p_partkey").alias("seq"))
     extra = spark.createDataFrame([("extra", "hand:extra", 0)], "alias string, canonical_id string, seq long")
     return entities.with_overrides(entities.register(LATIN, V.mentions(spark, sf_dir)), p.union(extra)).select("alias", "canonical_id")
 
@@ -121,13 +121,14 @@ def feed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("text", "timestamp", "canonical_id", "stance")
 
 
-@query(f"""WITH {P._NUMBERED}, fc AS (SELECT DISTINCT finding_id, CASE WHEN finding_id % 2 = 0 THEN 'low' WHEN value >= high THEN 'high' ELSE 'medium' END AS severity, metric AS detail FROM mv JOIN th USING (metric) WHERE value >= medium)
+@query(f"""WITH {P._NUMBERED}, bk AS (SELECT DISTINCT finding_id, metric, true AS backed FROM mv WHERE value >= 49),
+fc AS (SELECT DISTINCT finding_id, CASE WHEN backed THEN 'low' WHEN value >= high THEN 'high' ELSE 'medium' END AS severity, metric AS detail FROM mv JOIN th USING (metric) LEFT JOIN bk USING (finding_id, metric) WHERE value >= medium)
 SELECT finding_id, severity, detail FROM fc""")
 def critique_corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excesses, of which those of even findings are corroborated."""
+    """Excesses, of which those with a figure of 49 or more are corroborated."""
     found = P._numbered(spark, sf_dir)
     values = critique.metrics(LATIN, found)
-    backed = values.filter("finding_id % 2 = 0").select("finding_id", "metric")
+    backed = values.filter("value >= 49").select("finding_id", "metric")
     flagged = critique.flags(LATIN, found, critique.thresholds(values), corroborated=backed)
     return flagged.select("finding_id", F.explode("flags").alias("f")).filter("f.kind = 'over_optimistic'").select("finding_id", "f.severity", "f.detail")
 
@@ -187,13 +188,13 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.vector_search(v, v.filter("vec_id % 20 = 0"), 120)
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS fresh FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN label < 3 THEN 1 ELSE 0 END::BIGINT AS fresh FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def vector_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index after a build: live vectors, every third encoded anew, and those that were missing."""
+    """An index after a build: live vectors, those of three labels encoded anew, and those that were missing."""
     live = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
     index = V.table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).cast("long").alias("fresh"))
     missing = recall.index_delta(index, live, "vec_id").filter("action = 'encode'").select("vec_id")
-    encoded = index.filter("vec_id % 3 = 0").select("vec_id").union(missing).distinct().withColumn("fresh", F.lit(1).cast("long"))
+    encoded = V.table(spark, sf_dir, "embeddings").filter("label < 3").select("vec_id").union(missing).distinct().withColumn("fresh", F.lit(1).cast("long"))
     return recall.index_applied(index, encoded, live, "vec_id")
 
 
@@ -211,12 +212,12 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.first_json(F.concat(F.lit("Answer: "), "props", F.lit(" - that is all } {"))).alias("found"))
 
 
-@query("""WITH c AS (SELECT s_suppkey, lpad((s_suppkey * 7919 % 1000000)::VARCHAR, 6, '0') AS code FROM supplier), k AS (SELECT * FROM c WHERE s_suppkey % 2 = 0)
+@query("""WITH c AS (SELECT s_suppkey, s_acctbal, lpad((s_suppkey * 7919 % 1000000)::VARCHAR, 6, '0') AS code FROM supplier), k AS (SELECT * FROM c WHERE s_acctbal > 3000)
 SELECT c.s_suppkey, CASE WHEN k.code IS NOT NULL THEN 'org' || k.code END AS org_id, CASE WHEN k.code IS NOT NULL THEN 'zz' WHEN c.code[1] IN ('6', '9') THEN 'sh' WHEN c.code[1] IN ('0', '3', '2') THEN 'sz' WHEN c.code[1] IN ('8', '4') THEN 'bj' ELSE '' END AS plate FROM c LEFT JOIN k ON k.s_suppkey = c.s_suppkey""")
 def org_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Organisation ids of codes, of which half are listed."""
-    c = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.lpad((F.col("s_suppkey") * 7919 % 1000000).cast("string"), 6, "0").alias("code"))
-    listed = c.filter("s_suppkey % 2 = 0").select("code", F.concat(F.lit("org"), "code").alias("org_id"), F.lit("zz").alias("plate"))
+    """Organisation ids of codes, of which those of rich suppliers are listed."""
+    c = V.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.lpad((F.col("s_suppkey") * 7919 % 1000000).cast("string"), 6, "0").alias("code"))
+    listed = c.filter("s_acctbal > 3000").select("code", F.concat(F.lit("org"), "code").alias("org_id"), F.lit("zz").alias("plate"))
     return cards.organisations(c, listed).select("s_suppkey", "org_id", "plate")
 
 
@@ -236,10 +237,10 @@ def fact_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.get(facts, least).select("fact_id", *ledger.KEY, "votes")
 
 
-@query("SELECT event_id AS fact_id, round(value, 6) AS score FROM events WHERE event_type NOT IN ('error') AND user_id % 2 = 0")
+@query("SELECT event_id AS fact_id, round(value, 6) AS score FROM events WHERE event_type NOT IN ('error') AND value > 10")
 def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector hits whose facts still stand."""
     e = V.table(spark, sf_dir, "events")
     facts = e.select(F.col("event_id").alias("fact_id"), F.when(F.col("event_type") == "error", "superseded").when(F.col("event_type") == "click", "disputed").otherwise("active").alias("status"))
-    scored = e.filter("user_id % 2 = 0").select(F.col("event_id").alias("fact_id"), F.round("value", 6).alias("score"))
+    scored = e.filter("value > 10").select(F.col("event_id").alias("fact_id"), F.round("value", 6).alias("score"))
     return recall.live_scores(scored, facts).select("fact_id", "score")
