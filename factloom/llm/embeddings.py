@@ -206,7 +206,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     Rows whose label, id or vector is null, or whose vector is empty, zero or holds nulls or non-finite values, link with nothing:
     n_links 0, their own id as component. Vectors of other lengths than their label's most don't mix: lengths are
     compared like labels. Repeated rows are other vectors. Other columns don't pass. Found links are exact; links may be
-    missed where linked vectors share none of their CELLS nearest pivots, or a search ends early: audit() measures how many.
+    missed where linked vectors share none of their CELLS nearest pivots, or a search ends early: audit() measures how many. A pair
+    that shares several cells counts in the least of them.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -253,7 +254,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
 
 
 def audit(vectors: DataFrame, found: DataFrame, queries: int = 500, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> float:
-    """Share of the links of `queries` vectors (the first by a hash of the id) that n_links of `found` holds, against all rows by brute force."""
+    """Share of the links of `queries` vectors (the first by a hash of the id) that n_links of `found` holds, against all rows by brute force.
+
+    Rows that can't link aren't asked; 1.0 if there are no links. Ids must not repeat.
+    """
     own = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id is not null and label is not null and v is not null and not exists(v, x -> x is null or isnan(x)) and exists(v, x -> x <> 0)")
     picked = own.orderBy(F.xxhash64("vec_id")).limit(queries).collect()
     labels, ids = np.array([r["label"] for r in picked]), np.array([r["vec_id"] for r in picked])

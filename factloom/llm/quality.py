@@ -73,7 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     """A model from up to per_label labelled texts a label, of at most most_chars characters each.
 
     The bias is moved so that the labels are as frequent as among all labelled rows, but for a half of the log ratio. With
-    rows of one label only, every text scores 0.95 or 0.05; without any, 0.5.
+    rows of one label only, every text scores 0.95 or 0.05; without any, 0.5. Of rows that repeat an id the least text counts, and
+    an id with both labels counts as 1.
     """
     sample, totals = labelled_sample(docs, labels, label, per_label, most_chars, id_col, text_col)
     y = np.array([s[2] for s in sample], float)

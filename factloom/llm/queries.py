@@ -27,14 +27,21 @@ def word_bpe() -> str:
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed. A null or empty text is one piece with the closing 0; rows that repeat give their pieces again; an empty table gives none."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component. Null, empty and wordless texts have fingerprint zero and are linked; repeated rows repeat."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(column: str, folds: int, fold: int) -> F.Column:
+    """Whether an id is of the fold that isn't learned from; a null id isn't."""
+    return F.coalesce(fold_of(column, folds) == fold, F.lit(False)).alias("held_out")
+
+
 def _learned(spark: SparkSession, sf_dir: str, folds: int, held: int) -> tuple[DataFrame, DataFrame]:
     """Documents and the labels that may be learned."""
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(fold_of("doc_id", folds) != held)
@@ -42,33 +49,38 @@ def _learned(spark: SparkSession, sf_dir: str, folds: int, held: int) -> tuple[D
 
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. Null and empty texts score like a text without words; a null id is not held out and teaches nothing; without labels all scores are equal and below 0.7."""
     docs, labels = _learned(spark, sf_dir, 3, 1)
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels), keep=["doc_id"])
-    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "language")
+    return found.select("doc_id", held_out("doc_id", 3, 1), "score", "predicted", "language")
 
 
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language. Null texts and those without a letter are `und` with score 0; a null id is not held out; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold_of("doc_id", 4) != 2))
     found = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "code_bits")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score", "code_bits")
 
 
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. Null and empty texts score like a text without features; a null id is not held out and teaches nothing; without labels every score is 0.5."""
     docs, labels = _learned(spark, sf_dir, 3, 1)
     found = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels), keep=["doc_id"])
-    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out("doc_id", 3, 1), "score", "predicted")
 
 
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scanned. A null text is an empty one: no words, no labels, score 0; repeated rows repeat."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")
 
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its lines, those dropped, and the rest. Null html has no lines and a null text; a null url is a site of its own; repeated pages count as pages each."""
     pages = table(spark, sf_dir, "pages")
     return linededup.drop_boilerplate(pages, linededup.host("url"), linededup.html_lines("html"), keep=["page_id"])
 
@@ -91,6 +103,7 @@ SELECT page_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(k))::BIGINT AS
 
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a benchmark item in a document, at its best place. Null and empty texts leak nothing; repeated rows give their leaks once."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -113,6 +126,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored against conversations. Texts without words have 0 tokens and null scores; repeated rows count and are scored as often as they stand."""
     found = lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
@@ -143,6 +157,7 @@ SELECT id AS doc_id, any_value(n)::BIGINT AS n_tokens, round(max(loss) FILTER (m
 
 @query
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component. Null, zero and non-finite vectors and null labels link with nothing; equal vectors are linked like others."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -160,6 +175,7 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, as corpus_pipeline.run() describes."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
