@@ -264,12 +264,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     text; of rows that repeat the text too any one. An id that is repeated with texts of two groups stands for either. Rows
     with a null id are judged by no one and stay. Columns and their names pass as they are.
     """
-    rows = find(docs, id_col, text_col).filter("doc_id is not null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("f")).select("f.*")
-    first = checkpoint(first)
+    rows = checkpoint(find(docs, id_col, text_col).filter("doc_id is not null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    several = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("group", "first")
+    several = checkpoint(several)
+    gone = rows.join(maybe_broadcast(several, several.count()), "group").filter(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key")
+    again = rows.filter("n > 1").select("doc_id", "text_key")
+    gone, again = checkpoint(gone), checkpoint(again)
     key = free(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(first, (keyed[id_col] == first["doc_id"]) & (keyed[key] == first["text_key"]), "left_semi")
-    if not first.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, key])
-    return kept.drop(key).unionByName(docs.filter(F.col(id_col).isNull()))
+    same = lambda left, right: (left[id_col] == right["doc_id"]) & (left[key] == right["text_key"])
+    gone, n_again = maybe_broadcast(gone, gone.count()), again.count()
+    kept = keyed.join(gone, same(keyed, gone), "left_anti")  # rows without an id equal none, so they stay
+    if n_again:
+        again = maybe_broadcast(again, n_again)
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates([id_col, key]))
+    return kept.drop(key)
