@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..functions.rules import LATIN, pattern
+from ..functions.rules import CHINESE, LATIN, pattern
 from ..operators import attribution, classify, critique, hypothesis
 from ..sources import cards
 from . import views as V
@@ -266,3 +266,28 @@ def hypothesis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = V.table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
     resolutions = li.select(F.col("l_partkey").alias("hyp_id"), F.col("l_returnflag").alias("outcome"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 10000 + F.col("l_suppkey") % 10000).alias("seq"))
     return hypothesis.status(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hyp_id")), resolutions)
+
+
+# texts of four of the rules' own words, a figure and a date, dealt by part and size
+_WORDS = sorted({w for words in (*CHINESE.hard.values(), *CHINESE.structure.values(), CHINESE.quant, CHINESE.bullish, CHINESE.bearish, CHINESE.fast, CHINESE.slow, CHINESE.generic, *[t for _, t in CHINESE.titles]) for w in words})
+_MORE = ["", "12%", "2026年3月", "第三条", "中国市场", "2025年", "3.5亿", "《公司法》", "HBM3E"]
+_G = CHINESE.garbage
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_WORDS!r}[p_partkey * 7 % {len(_WORDS)} + 1] AS a, {_WORDS!r}[(p_partkey * 31 + p_size) % {len(_WORDS)} + 1] AS b, {_MORE!r}[p_size % {len(_MORE)} + 1] AS c FROM part),
+f AS (SELECT *, a || ' ' || c || ' ' || b AS claim, lower(a || ' ' || c || ' ' || b || ' ') AS txt, regexp_extract_all(c, '(\\d+\\.?\\d*)', 1) AS nums, CASE WHEN p_partkey < 1000 THEN a ELSE c END AS name FROM t)
+SELECT p_partkey, {V.category_sql(CHINESE)} AS category, {V.predicate_sql(CHINESE)} AS predicate, {sql_first('txt', CHINESE.structure, 'NULL', True)} AS relation,
+  CASE WHEN {sql_count('lower(claim)', CHINESE.bullish)} > {sql_count('lower(claim)', CHINESE.bearish)} THEN 'bullish' WHEN {sql_count('lower(claim)', CHINESE.bullish)} < {sql_count('lower(claim)', CHINESE.bearish)} THEN 'bearish' ELSE 'neutral' END AS stance,
+  {sql_first('claim', CHINESE.titles, quoted(CHINESE.other_title))} AS title, CASE WHEN regexp_matches(claim, {quoted(pattern(CHINESE.fast))}) THEN '快变量' WHEN regexp_matches(claim, {quoted(pattern(CHINESE.slow))}) THEN '慢变量' ELSE '中性' END AS speed,
+  trim(name) = '' OR regexp_matches(trim(name), {quoted(_G['date'])}) OR regexp_matches(trim(name), {quoted(_G['legal'])}) OR regexp_matches(trim(name), {quoted(_G['market'])}) OR regexp_matches(trim(name), {quoted(_G['number'])}) OR trim(name) IN ({', '.join(map(quoted, CHINESE.generic))}) AS garbage FROM f""")
+def chinese_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Chinese rules over texts made of their own words: category, predicate, relation, stance, title, speed and garbage."""
+    at = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
+    key = F.col("p_partkey")
+    t = V.table(spark, sf_dir, "part").select("p_partkey", at(_WORDS, key * 7 % len(_WORDS)).alias("a"), at(_WORDS, (key * 31 + F.col("p_size")) % len(_WORDS)).alias("b"), at(_MORE, F.col("p_size") % len(_MORE)).alias("c"))
+    f = t.withColumn("claim", F.concat_ws(" ", "a", "c", "b")).withColumn("evidence", F.lit("")).withColumn("nums", F.regexp_extract_all("c", F.lit(r"(\d+\.?\d*)"), 1)).withColumn("name", F.when(key < 1000, F.col("a")).otherwise(F.col("c")))
+    claim = F.col("claim")
+    return f.select(
+        "p_partkey", classify.category(CHINESE, "claim", "evidence", F.col("nums")).alias("category"), classify.predicate(CHINESE, "claim", "evidence").alias("predicate"), classify.relation(CHINESE, "claim", "evidence").alias("relation"),
+        classify.stance(CHINESE, claim).alias("stance"), classify.title_category(CHINESE, claim).alias("title"), classify.fact_speed(CHINESE, claim).alias("speed"), classify.is_garbage(CHINESE, F.col("name"), F.lit("concept")).alias("garbage"),
+    )

@@ -54,15 +54,15 @@ f AS (SELECT *, regexp_extract_all(claim || ' ' || evidence, '(\\d+\\.?\\d*)', 1
     {KINDS!r}[(coalesce(try_cast(regexp_extract(source, '(\\d+)', 1) AS INT), 0) % {len(KINDS)}) + 1] AS kind FROM documents))"""
 
 
-def predicate_sql() -> str:
-    return sql_first("txt", {p: LATIN.hard[p] for p in R.PRIORITY}, "'HAS_CATALYST'")
+def predicate_sql(rules: R.RuleSet = LATIN) -> str:
+    return sql_first("txt", {p: rules.hard[p] for p in R.PRIORITY}, "'HAS_CATALYST'")
 
 
-def category_sql() -> str:
-    hard = "|".join(pattern(w) for w in LATIN.hard.values())
-    structure = "|".join("|".join(w) for w in LATIN.structure.values())
-    return f"""CASE WHEN regexp_matches(txt, {quoted(pattern(LATIN.quant))}) AND regexp_matches(txt, '\\d') THEN 'quant_fact'
-      WHEN regexp_matches(txt, {quoted(hard)}) AND (regexp_matches(txt, {quoted(LATIN.date)}) OR len(nums) > 0) THEN 'hard_fact'
+def category_sql(rules: R.RuleSet = LATIN) -> str:
+    hard = "|".join(pattern(w) for w in rules.hard.values())
+    structure = "|".join("|".join(w) for w in rules.structure.values())
+    return f"""CASE WHEN regexp_matches(txt, {quoted(pattern(rules.quant))}) AND regexp_matches(txt, '\\d') THEN 'quant_fact'
+      WHEN regexp_matches(txt, {quoted(hard)}) AND (regexp_matches(txt, {quoted(rules.date)}) OR len(nums) > 0) THEN 'hard_fact'
       WHEN regexp_matches(txt, {quoted(structure)}) THEN 'structure' ELSE 'background' END"""
 
 

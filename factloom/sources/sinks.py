@@ -30,5 +30,15 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def upsert_snapshot(rows: DataFrame, path: str, keys: list[str], version: int) -> DataFrame:
+    """Writes version `version` of a snapshot: that before it with rows in place of those of equal keys; gives it back. Old versions stay readable."""
+    spark, before = rows.sparkSession, f"{path}/version={version - 1}"
+    if version > 0:
+        old = spark.read.parquet(before)
+        rows = old.join(rows, keys, "left_anti").unionByName(rows)
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return spark.read.parquet(f"{path}/version={version}")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

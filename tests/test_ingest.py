@@ -60,6 +60,8 @@ def test_ingest_from_cards_to_answer(spark, tmp_path):
     told = stores.report(found).first()
     assert (told.cards, told.findings, told.hard_facts, told.quant_facts, told.structures, told.background, told.entities_registered) == (3, 6, 2, 1, 1, 2, 3)
     assert told.level_dist == {"B": 3} and told.doubts >= 1
+    sizes = {(r.store, r.section, r.name): r.n for r in stores.stats().collect()}
+    assert sizes["facts", "total", ""] == 3 and sizes["facts", "status", "superseded"] == 1 and sizes["graph", "edges", "SUPPLIES"] == 1 and sizes["registry", "entities", ""] == stores.registry.select("canonical_id").distinct().count()
     again = ingest.ingest(CHINESE, found.union(found))  # the same cards twice
     assert {(r.predicate, r.object): (r.votes, r.status) for r in again.facts().collect()} == {k: (r.votes, r.status) for k, r in facts.items()}
     verified = spark.createDataFrame([("c2#0", "confirmed")], "finding_id string, outcome string")
@@ -242,3 +244,29 @@ def test_small_pieces(spark, tmp_path):
     merges = spark.createDataFrame([("A", "B")], "from_id string, into_id string")
     assert {r.alias: r.canonical_id for r in entities.merged(reg, merges).collect()} == {"a": "B", "b": "B"}
     assert [r.term for r in entities.watch_terms(reg, ("stock",), merges).collect()] == ["Bn"]
+
+
+def test_concurrent_writers_and_snapshots(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(k):
+        rows = [("e", "P", "o", 1, "B", True, f"d{k}", "2026-01-01", 10 * k + j) for j in range(3)]
+        sinks.append_batch(spark.createDataFrame(rows, LOG), str(tmp_path / "log"), k)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(12)))
+    write(3)  # a batch comes again
+    fact = ledger.fold(sinks.read_log(spark, str(tmp_path / "log"))).first()
+    assert (fact.votes, fact.occurrences) == (12, 36)
+    schema = "k int, v string"
+    sinks.upsert_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], schema), str(tmp_path / "snap"), ["k"], 0)
+    new = sinks.upsert_snapshot(spark.createDataFrame([(2, "c"), (3, "d")], schema), str(tmp_path / "snap"), ["k"], 1)
+    assert sorted(map(tuple, new.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_newest_events(spark):
+    from factloom.operators import verify
+
+    clusters = spark.createDataFrame([(1, "c", 1), (2, "c", 1), (3, "c", 3), (4, "d", 4)], "fact_id long, code string, leader long")
+    leads = spark.createDataFrame([(1, 5), (2, 6), (3, 2), (4, 5)], "fact_id long, age int")
+    assert [(r.leader, r.members) for r in verify.newest_events(clusters, leads, 2).orderBy("age", "leader").collect()] == [(3, 1), (1, 2)]
