@@ -108,5 +108,6 @@ def _leaks_of_width(own: DataFrame, items: DataFrame, width: int, similarity: fl
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with their own columns, without the documents that hold a leak; all rows of such an id go, null ids too."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("doc_id").distinct()
+    bad = checkpoint(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("doc_id").distinct())
+    bad = maybe_broadcast(bad, bad.count())
     return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]), "left_anti")
