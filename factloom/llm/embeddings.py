@@ -27,7 +27,7 @@ COSINE = 0.93
 #: Classes of a graph, about; cells a class goes to; cells of a split cell it goes to; most pivots there are at either level; neighbours of a node; width of the greedy search.
 SHARD, CELLS, INNER, PIVOTS, DEGREE, BEAM = 400, 3, 2, 8192, 24, 32
 #: Classes of a block of a dense cell, in shards, and numbers that a cell's own cells have.
-DENSE, _CELL = 4, 1 << 20
+DENSE, _CELL = 1, 1 << 20
 #: Pruning slack, and how far under the range the search still widens.
 ALPHA, SLACK = 1.2, 0.06
 
