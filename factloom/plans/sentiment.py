@@ -107,7 +107,7 @@ def sentiment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON field, and ids as epoch days in milliseconds."""
     e = V.table(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), epoch_ms_date(F.col("event_id") % 10000000 * 86400000).alias("day"))
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.when(F.col("event_id").isNotNull(), epoch_ms_date(F.col("event_id") * 86400000)).alias("day"))
 
 
 @query("""WITH p AS (SELECT user_id AS code, event_type AS title, strftime(ts, '%Y-%m-%d') AS date, event_id::VARCHAR AS url FROM events),
