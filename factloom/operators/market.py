@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import RuleSet
+from ..lineage import checkpoint
 from .classify import fact_speed
 
 ORDER = ("ts", "tie")
@@ -54,6 +55,29 @@ def peer_alpha(found: DataFrame, peers: DataFrame) -> DataFrame:
     return out.select("code", "ret", "peer_median", (F.col("ret") - F.col("peer_median")).alias("alpha"))
 
 
+def group_alpha(found: DataFrame, members: DataFrame) -> DataFrame:
+    """peer_alpha() where the peers of a code are the other members of its group (members: code and the group's columns; a null is no group).
+
+    No pairs are made: returns are put in order once a group, and each code reads the median at its place among the others.
+    A member that repeats counts as often, as it would in pairs. Codes of several groups have peers in all of them and go by pairs.
+    """
+    group = [c for c in members.columns if c != "code"]
+    own = members.dropna(subset=group).groupBy("code", *group).agg(F.count("*").alias("w")).join(found, "code")
+    own = checkpoint(own.withColumn("groups", F.count("*").over(Window.partitionBy("code"))))
+    sizes = own.groupBy(*group).agg(F.sum("w").alias("n"))
+    up_to = Window.partitionBy(*group).orderBy("ret", "code").rowsBetween(Window.unboundedPreceding, 0)
+    placed = checkpoint(own.withColumn("end", F.sum("w").over(up_to)).join(sizes, group).withColumn("before", F.col("end") - F.col("w")))
+    # the upper median of the others; what stands at or behind the code moves up by the places that it takes itself
+    others = F.floor((F.col("n") - F.col("w")) / 2)
+    wanted = placed.filter("groups = 1 and n > w").select("code", "ret", *group, F.when(others < F.col("before"), others).otherwise(others + F.col("w")).alias("at"))
+    places = wanted.select(*group, "at").distinct()  # two a group, if no member repeats
+    medians = placed.select(*group, "before", "end", F.col("ret").alias("peer_median")).join(places, group).filter("before <= at and at < end").select(*group, "at", "peer_median")
+    out = wanted.join(medians, [*group, "at"]).select("code", "ret", "peer_median", (F.col("ret") - F.col("peer_median")).alias("alpha"))
+    several = own.filter("groups > 1").select("code", *group, F.col("w").alias("_w"))
+    peers = several.join(own.select(F.col("code").alias("peer"), *group, "w"), group).select("code", "peer", F.explode(F.array_repeat(F.lit(0), (F.col("w") * F.col("_w")).cast("int")))).select("code", "peer")
+    return out.unionByName(peer_alpha(found, peers))
+
+
 def index_alpha(found: DataFrame, index: DataFrame) -> DataFrame:
     """found (code, ret) with index_ret and alpha, the return in excess of an index's (one row: ret); null without the index."""
     return found.join(F.broadcast(index.select(F.col("ret").alias("index_ret")).limit(1)), F.lit(True), "left").withColumn("alpha", F.col("ret") - F.col("index_ret"))

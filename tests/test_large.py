@@ -1,5 +1,7 @@
 """What only larger tables or odd rows bring out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,3 +23,31 @@ def test_json_props_takes_event_ids_of_any_size(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = {tuple(r) for r in QUERIES["json_props"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(ORACLES["json_props"]).fetchall()) and len(got) == len(ids)
+
+
+def test_group_alpha_equals_the_pairs(spark):
+    from factloom.operators import market
+
+    rng = random.Random(5)
+    found = spark.createDataFrame([(c, float(rng.randrange(-4, 5))) for c in range(60) if c % 7], "code long, ret double")
+    rows = [(c, rng.choice([0, 1, 2, None]), rng.choice("ab")) for c in range(70)]
+    rows += rows[:9] + rows[:3] + [(c, 1, "b") for c in range(20, 24)] + [(500, 9, "alone")]  # members that repeat, members of two groups
+    members = spark.createDataFrame(rows, "code long, g int, h string")
+    pairs = members.join(members.withColumnRenamed("code", "peer"), ["g", "h"]).select("code", "peer")
+    got, want = (sorted(tuple(r) for r in df.collect()) for df in (market.group_alpha(found, members), market.peer_alpha(found, pairs)))
+    assert got == want and len(got) > 30
+
+
+def test_peer_alpha_makes_no_pairs(spark, monkeypatch):
+    """Whoever has a hundred thousand peers in a group can't be met with each of them."""
+    from factloom.operators import market
+    from factloom.plans import views
+
+    n = 100_000
+    series = spark.range(n * 3).select((F.col("id") % n).alias("code"), F.col("id").alias("ts"), F.col("id").alias("tie"), (F.col("id") * 7919 % 1009 + 1).cast("double").alias("close"))
+    customers = spark.range(n).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("x").alias("c_mktsegment"))
+    monkeypatch.setattr(views, "table", lambda *_: customers)
+    monkeypatch.setattr(views, "series", lambda *_: series)
+    seen = []
+    monkeypatch.setattr(market, "peer_alpha", lambda found, peers: seen.append(peers.count()) or found.limit(0).selectExpr("code", "ret", "ret as peer_median", "ret as alpha"))
+    assert QUERIES["peer_alpha"](spark, "").count() == n and seen == [0]
