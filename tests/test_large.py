@@ -51,3 +51,25 @@ def test_peer_alpha_makes_no_pairs(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(market, "peer_alpha", lambda found, peers: seen.append(peers.count()) or found.limit(0).selectExpr("code", "ret", "ret as peer_median", "ret as alpha"))
     assert QUERIES["peer_alpha"](spark, "").count() == n and seen == [0]
+
+
+def test_matches_equal_all_pairs(spark):
+    from factloom.operators import entities
+
+    rng = random.Random(11)
+    signs = ["ab", "abc", "x1", "zzzz", "é", "-", "/", " ", "储", "测试", "A", "😀", "."]
+    word = lambda most: "".join(rng.choice(signs) for _ in range(rng.randint(1, most)))
+    queries = spark.createDataFrame([(k, word(9)) for k in range(150)] + [(900, None), (901, "")], "qid long, text string")
+    aliases = spark.createDataFrame(sorted({(word(3).lower(), c) for c in ("SH600001", "concept:x") for _ in range(80)}) + [("----", "company:y"), ("", "none")], "alias string, canonical_id string")
+    every = queries.select("qid", T.normalize(F.col("text")).alias("q")).crossJoin(aliases.filter("alias <> ''")).filter(entities.named(F.col("q"), F.col("alias")))
+    got, want = ({(r.qid, r.alias, r.canonical_id) for r in df.collect()} for df in (entities.matches(queries, aliases), every))
+    assert got == want and len(got) > 100
+
+
+def test_aliases_with_a_common_beginning_are_no_candidates(spark, monkeypatch):
+    from factloom.operators import entities
+
+    aliases = spark.range(300).select(F.concat(F.lit("common"), F.col("id").cast("string")).alias("alias"), F.lit("concept:x").alias("canonical_id"))
+    queries = spark.range(50).select(F.col("id").alias("qid"), F.concat(F.lit("common"), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(entities, "named", lambda *_: F.lit(True))  # so every candidate comes out
+    assert entities.matches(queries, aliases).count() == 50
