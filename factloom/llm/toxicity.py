@@ -5,12 +5,18 @@ of known words count. Filters of several widths run over the words, each filter'
 unit. A threshold is calibrated for each language on scores that every training row got from a model which hasn't seen it, and
 drawn to the overall one where a language has few rows. The language of a text is guessed from its words alone, as the training
 rows have taught it.
+
+Every labelled row teaches, with its whole text. The rows are dealt by a hash of their id into parts of about PART_ROWS; in each
+epoch every part goes on from the common model with its own rows, in a task, and the parts' models are averaged. A unit's vector
+moves by the mean over the parts that moved it. What the driver holds doesn't grow with the rows, as units are hashed to BUCKETS.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordRows, append_columns, coded_words, free, kept, labelled_sample, slices, sums
+from .common import WordIds, WordRows, append_columns, checkpoint, coded_words, free, kept, labelled_rows, release, ship, slices, sums
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 30, 16, (1, 2, 3), 12
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 16, (1, 2, 3), 12
 #: Lengths of the beginnings and ends of a word that are units of it.
 HEADS, TAILS = (3, 4, 5, 6), (3, 4)
-#: Training rows per label and their greatest length; the fit uses no more, however large the input.
-PER_LABEL, MOST_CHARS = 2500, 6000
+#: Training rows of a part, about, and rows of a table that are summed together over the parts.
+PART_ROWS, BLOCK = 6_000, 4096
 EPOCHS, BATCH, RATE, E_RATE, DECAY, E_DECAY = 8, 32, 0.03, 0.1, 1e-4, 0.01
+#: Rows that many epochs go over: with more rows there are fewer epochs, LEAST_EPOCHS at least; each goes over every row.
+SEEN_ROWS, LEAST_EPOCHS = 40_000, 3
 #: The score at which a text counts as toxic; the calibrated threshold of each language is moved there.
 CUT = 0.7
 #: Parts of the training rows for the calibration, and the rows of the rarer label that weigh as much as the overall threshold.
-FOLDS, SHRINK = 3, 10
+FOLDS, SHRINK = 2, 10
 #: Languages that are told apart at most: those with most training rows.
 MOST_LANGUAGES, UNKNOWN = 50, "und"
 #: Empty places behind each text, so that every filter has a place even in a text without words.
@@ -75,7 +83,7 @@ def _embedded(vectors: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its size is bounded by the training sample."""
+    """Everything that scoring needs; its size is bounded by BUCKETS."""
 
     buckets: np.ndarray  # sorted units; row k + 1 of vectors belongs to buckets[k], row 0 is zero
     vectors: np.ndarray  # rows x DIM
@@ -129,10 +137,13 @@ class Model:
         codes, distinct, offsets = coded_words(texts)
         rows = cache(distinct)
         p = self.probabilities(codes + 1, offsets, self.tables(np.concatenate([np.zeros((1, DIM), np.float32), rows[:, :DIM]])))
-        seen = sums(rows[codes, DIM:], offsets)
+        return p, self.spoken(sums(rows[codes, DIM:], offsets))
+
+    def spoken(self, seen: np.ndarray) -> np.ndarray:
+        """The language of texts whose words have these log odds in all: a place in languages, one more: unknown."""
         if not self.languages:
-            return p, np.zeros(len(p), np.int64)
-        return p, np.where(np.abs(seen).max(axis=1) > 0, seen.argmax(axis=1), len(self.languages))
+            return np.zeros(len(seen), np.int64)
+        return np.where(np.abs(seen).max(axis=1) > 0, seen.argmax(axis=1), len(self.languages))
 
     def scores(self, texts: pa.Array, cache: WordRows) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated score and language of each text."""
@@ -141,83 +152,118 @@ class Model:
         return np.where(p < cut, CUT * p / cut, CUT + (1 - CUT) * (p - cut) / (1 - cut)), language
 
 
+@dataclass
+class State:
+    """A model in training: parameters, their moments (Adam), unit vectors and what was spent on each (Adagrad), steps so far."""
+
+    p: dict[str, np.ndarray]
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+    e: np.ndarray
+    spent: np.ndarray
+    step: int = 0
+
+    @classmethod
+    def new(cls, rows: int, rng: np.random.Generator) -> State:
+        shapes = {"v": (FILTERS * len(WIDTHS),), "c": (1,)} | {f"w{w}": (w, DIM, FILTERS) for w in WIDTHS} | {f"b{w}": (FILTERS,) for w in WIDTHS}
+        scale = {"v": 0.3} | {f"w{w}": 0.5 / np.sqrt(w) for w in WIDTHS}
+        p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+        e = rng.normal(0, 0.1, (rows, DIM)).astype(np.float32)
+        e[0] = 0
+        for w in WIDTHS:
+            p[f"b{w}"] += 0.05
+        return cls(p, *({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2)), e, np.full(rows, 1e-3, np.float32))
+
+    @property
+    def dense(self) -> np.ndarray:
+        """All but the unit vectors, flat; the steps last."""
+        return np.concatenate([*[x.ravel() for d in (self.p, self.first, self.second) for x in d.values()], [self.step]]).astype(np.float64)
+
+    @dense.setter
+    def dense(self, flat: np.ndarray) -> None:
+        at = 0
+        for d in (self.p, self.first, self.second):
+            for k, x in d.items():
+                d[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+        self.step = round(flat[at])
+
+
 def _train(texts: list[np.ndarray], labels: np.ndarray, places: np.ndarray, ends: np.ndarray, rows: int, weight: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """Adam on the weighted log loss, Adagrad on the unit vectors; only the argmax of each filter passes gradients back.
+    """EPOCHS passes over the texts as one part."""
+    rng = np.random.default_rng(seed)
+    state = State.new(rows, rng)
+    for _ in range(EPOCHS):
+        _epoch(state, texts, labels, places, ends, weight, rng)
+        state.e *= 1 - E_DECAY
+    return state.p | {"e": state.e}
+
+
+def _epoch(state: State, texts: list[np.ndarray], labels: np.ndarray, places: np.ndarray, ends: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass: Adam on the weighted log loss, Adagrad on the unit vectors; only the argmax of each filter passes gradients back.
 
     texts are words from 1 (0 is the padding); the units of word w have the rows places[ends[w - 1]:ends[w]] of the vectors.
     """
-    rng = np.random.default_rng(seed)
-    shapes = {"v": (FILTERS * len(WIDTHS),), "c": (1,)} | {f"w{w}": (w, DIM, FILTERS) for w in WIDTHS} | {f"b{w}": (FILTERS,) for w in WIDTHS}
-    scale = {"v": 0.3} | {f"w{w}": 0.5 / np.sqrt(w) for w in WIDTHS}
-    p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-    e = rng.normal(0, 0.1, (rows, DIM)).astype(np.float32)
-    e[0] = 0
-    for w in WIDTHS:
-        p[f"b{w}"] += 0.05
-    first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    spent = np.full(rows, 1e-3, np.float32)
-    step = 0
-    padded = [np.concatenate([t, np.zeros(PAD, np.int64)]) for t in texts]
+    p, first, second, e, spent, step = state.p, state.first, state.second, state.e, state.spent, state.step
+    pad = np.zeros(PAD, np.int64)
     bounds = np.concatenate([[0], ends])  # word w: places[bounds[w]:bounds[w + 1]], the padding has none
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(padded))
-        for at in range(0, len(order), BATCH):
-            picked = order[at : at + BATCH]
-            ids = np.concatenate([padded[i] for i in picked])
-            starts = np.cumsum([0, *[len(padded[i]) for i in picked]])
-            distinct, place = np.unique(ids, return_inverse=True)
-            lengths = bounds[distinct + 1] - bounds[distinct]
-            begin = np.concatenate([[0], np.cumsum(lengths)])
-            own = _embedded(e, places[np.repeat(bounds[distinct] - begin[:-1], lengths) + np.arange(begin[-1])], begin)
-            pools, tops = [], []
-            for w in WIDTHS:
-                made = (own @ p[f"w{w}"][0])[place]
-                for k in range(1, w):
-                    made[:-k] += (own @ p[f"w{w}"][k])[place[k:]]
-                # a filter may start at any word or at the padding, but never reach into the next text
-                top = np.stack([a + made[a : b - w + 1].argmax(axis=0) for a, b in zip(starts, starts[1:], strict=False)])
-                tops.append(top)
-                pools.append(np.take_along_axis(made, top, axis=0) + p[f"b{w}"])
-            pool = np.concatenate(pools, axis=1)
-            live = np.maximum(pool, 0)
-            out = 1 / (1 + np.exp(-np.clip(live @ p["v"] + p["c"], -30, 30)))
-            d = ((out - labels[picked]) * weight[picked] / len(picked)).astype(np.float32)
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            ge = np.zeros_like(own)
-            g["v"], g["c"] = live.T @ d, np.array([d.sum()])
-            dpool = (d[:, None] * p["v"]) * (pool > 0)
-            for j, w in enumerate(WIDTHS):
-                dw = dpool[:, j * FILTERS : (j + 1) * FILTERS]
-                g[f"b{w}"] = dw.sum(axis=0)
-                for k in range(w):
-                    words = place[tops[j] + k]  # texts x filters
-                    g[f"w{w}"][k] = np.einsum("bfd,bf->df", own[words], dw)
-                    np.add.at(ge, words, dw[:, :, None] * p[f"w{w}"][k].T)
-            moved = np.flatnonzero((ge != 0).any(axis=1) & (lengths > 0))
-            if len(moved):
-                n = lengths[moved]
-                begin = np.concatenate([[0], np.cumsum(n)])
-                touched, where = np.unique(places[np.repeat(bounds[distinct[moved]] - begin[:-1], n) + np.arange(begin[-1])], return_inverse=True)
-                gu = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(gu, where, np.repeat(ge[moved] / np.sqrt(n)[:, None], n, axis=0).astype(np.float32))
-                gu[touched == 0] = 0
-                spent[touched] += (gu**2).mean(axis=1)
-                e[touched] -= E_RATE * gu / np.sqrt(spent[touched])[:, None]
-            step += 1
-            for k in p:
-                g[k] += DECAY * p[k] if k != "c" else 0
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.001 * (g[k] ** 2 - second[k])
-                p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        e *= 1 - E_DECAY
-    return p | {"e": e}
+    order = rng.permutation(len(texts))
+    for at in range(0, len(order), BATCH):
+        picked = order[at : at + BATCH]
+        ids = np.concatenate([x for i in picked for x in (texts[i], pad)])
+        starts = np.cumsum([0, *[len(texts[i]) + PAD for i in picked]])
+        distinct, place = np.unique(ids, return_inverse=True)
+        lengths = bounds[distinct + 1] - bounds[distinct]
+        begin = np.concatenate([[0], np.cumsum(lengths)])
+        own = _embedded(e, places[np.repeat(bounds[distinct] - begin[:-1], lengths) + np.arange(begin[-1])], begin)
+        pools, tops = [], []
+        for w in WIDTHS:
+            made = (own @ p[f"w{w}"][0])[place]
+            for k in range(1, w):
+                made[:-k] += (own @ p[f"w{w}"][k])[place[k:]]
+            # a filter may start at any word or at the padding, but never reach into the next text
+            top = np.stack([a + made[a : b - w + 1].argmax(axis=0) for a, b in zip(starts, starts[1:], strict=False)])
+            tops.append(top)
+            pools.append(np.take_along_axis(made, top, axis=0) + p[f"b{w}"])
+        pool = np.concatenate(pools, axis=1)
+        live = np.maximum(pool, 0)
+        out = 1 / (1 + np.exp(-np.clip(live @ p["v"] + p["c"], -30, 30)))
+        d = ((out - labels[picked]) * weight[picked] / len(picked)).astype(np.float32)
+        g = {k: np.zeros_like(x) for k, x in p.items()}
+        ge = np.zeros_like(own)
+        g["v"], g["c"] = live.T @ d, np.array([d.sum()])
+        dpool = (d[:, None] * p["v"]) * (pool > 0)
+        for j, w in enumerate(WIDTHS):
+            dw = dpool[:, j * FILTERS : (j + 1) * FILTERS]
+            g[f"b{w}"] = dw.sum(axis=0)
+            for k in range(w):
+                words = place[tops[j] + k]  # texts x filters
+                g[f"w{w}"][k] = np.einsum("bfd,bf->df", own[words], dw)
+                np.add.at(ge, words, dw[:, :, None] * p[f"w{w}"][k].T)
+        moved = np.flatnonzero((ge != 0).any(axis=1) & (lengths > 0))
+        if len(moved):
+            n = lengths[moved]
+            begin = np.concatenate([[0], np.cumsum(n)])
+            touched, where = np.unique(places[np.repeat(bounds[distinct[moved]] - begin[:-1], n) + np.arange(begin[-1])], return_inverse=True)
+            gu = np.zeros((len(touched), DIM), np.float32)
+            np.add.at(gu, where, np.repeat(ge[moved] / np.sqrt(n)[:, None], n, axis=0).astype(np.float32))
+            gu[touched == 0] = 0
+            spent[touched] += (gu**2).mean(axis=1)
+            e[touched] -= E_RATE * gu / np.sqrt(spent[touched])[:, None]
+        step += 1
+        for k in p:
+            g[k] += DECAY * p[k] if k != "c" else 0
+            first[k] += 0.1 * (g[k] - first[k])
+            second[k] += 0.001 * (g[k] ** 2 - second[k])
+            p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    state.step = step
 
 
 def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The cut with the greatest F0.5 under the weights, with two false alarms added so that few rows can't vouch for a low one; the middle of the gap there."""
+    """The cut with the greatest F0.5, each score standing for as many rows as its weight says, with two false alarms added so that few rows can't vouch for a low one; the middle of the gap there."""
     order = np.argsort(-p, kind="stable")
     hit, miss = np.cumsum((y * weight)[order]), np.cumsum(((1 - y) * weight)[order])
-    worth = 1.25 * hit / (hit + miss + 2 * weight[y == 0].max(initial=1) + 0.25 * (y * weight).sum())
+    worth = 1.25 * hit / (hit + miss + 2 + 0.25 * (y * weight).sum())
     at = int(worth.argmax())
     low = p[order[at + 1]] if at + 1 < len(p) else 0.0
     return float(np.clip((p[order[at]] + low) / 2, 0.5, 0.98))
@@ -229,77 +275,217 @@ def calibrate(p: np.ndarray, y: np.ndarray, language: np.ndarray, names: list[st
     out = {}
     for k, name in enumerate([*names, UNKNOWN]):
         own = language == k
-        n = min(y[own].sum(), (1 - y[own]).sum())
+        n = min((y * weight)[own].sum(), ((1 - y) * weight)[own].sum())
         mine = _threshold(p[own], y[own], weight[own]) if n else overall
         odds = (n * np.log(mine / (1 - mine)) + SHRINK * np.log(overall / (1 - overall))) / (n + SHRINK)
         out[name] = float(1 / (1 + np.exp(-odds)))
     return out
 
 
-def _languages(codes: np.ndarray, distinct: list[str], offsets: np.ndarray, langs: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _part(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as codes of words, where each text's codes start (one more at the end), the distinct words' units, and in how many texts each word stands."""
+    known, codes, ends, made, held = WordIds(), [], [np.zeros(1, np.int64)], [], [np.zeros(0, np.int32)]
+    for _, some in slices(texts):
+        found, distinct, offsets = coded_words(some)
+        own = np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
+        codes.append(own[found])
+        ends.append(ends[-1][-1] + offsets[1:])
+        made.append(units(known.fresh).astype(np.int32))
+        known.fresh = []
+        pairs = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * max(len(distinct), 1) + found) % max(len(distinct), 1)
+        held.append(np.bincount(own[pairs], minlength=len(known)).astype(np.int32))
+    total = np.zeros(len(known), np.int32)
+    for h in held:
+        total[: len(h)] += h
+    return np.concatenate(codes), np.concatenate(ends), np.concatenate(made), total
+
+
+def _encoded(table: pa.Table) -> pa.Table:
+    """A part's rows (part, id, text, label, lang) as one row (part, data): what training, counts and calibration need of them. Of rows that repeat an id the least text counts, and the least lang."""
+    release()
+    ids, texts, langs = (table[c].to_pylist() for c in ("id", "text", "lang"))
+    labels = table["label"].to_numpy()
+    ids = [str(x) for x in ids]
+    first, lang = [], {}
+    for k in sorted(range(len(ids)), key=lambda k: (ids[k], texts[k].encode())):
+        if not first or ids[first[-1]] != ids[k]:
+            first.append(k)
+        if langs[k] is not None:
+            lang[ids[k]] = min(langs[k], lang.get(ids[k], langs[k]))
+    codes, offsets, made, held = _part(pa.array([texts[k] for k in first], pa.large_string()))
+    folds = np.array([zlib.crc32(ids[k].encode()) // 3 % FOLDS for k in first], np.int8)
+    data = pickle.dumps((codes, offsets, made, held, labels[first].astype(np.int8), folds, [lang.get(ids[k]) for k in first]), 5)
+    return pa.table({"part": table["part"].slice(0, 1).cast(pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of each fold, label and language the parts have."""
+    for batch in batches:
+        for data in batch.column(1):
+            *_, labels, folds, langs = pickle.loads(data.as_buffer())
+            often = Counter(zip(folds.tolist(), labels.tolist(), langs, strict=True))
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([k[0] for k in often], pa.int32()), "label": pa.array([k[1] for k in often], pa.int32()), "lang": pa.array([k[2] for k in often], pa.string()), "n": pa.array(often.values(), pa.int64())})
+
+
+def _summed(parts: DataFrame, work: Callable[[int, tuple], Iterator[tuple[int, np.ndarray]]], mean: bool = False) -> dict[int, np.ndarray]:
+    """The sums over all parts of the arrays that work(part, data) gives as (number, array), by number.
+
+    Summed by blocks of rows in tasks, so only the sums reach the driver; with `mean` they are means over the parts whose row isn't zero.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for number, made in work(part, pickle.loads(data.as_buffer())):
+                    blocks = [made[at : at + BLOCK] for at in range(0, len(made), BLOCK)]
+                    for k, x in enumerate(blocks):
+                        yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "block": pa.array([k], pa.int32()), "data": pa.array([pickle.dumps(x, 5)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total, often, kind = None, None, None
+        for data in table["data"]:
+            x = pickle.loads(data.as_buffer())
+            kind, wide = x.dtype, x.astype(np.float64)
+            there = (x != 0).any(axis=tuple(range(1, x.ndim))).astype(np.float64) if mean else None
+            total, often = (wide, there) if total is None else (total + wide, None if often is None else often + there)
+        if mean:
+            total /= np.maximum(often, 1).reshape(-1, *[1] * (total.ndim - 1))
+        return pa.table({"number": table["number"].slice(0, 1), "block": table["block"].slice(0, 1), "data": pa.array([pickle.dumps(total.astype(kind), 5)], pa.binary())})
+
+    fields = "number int, block int, data binary"
+    found = parts.mapInArrow(run, fields).groupBy("number", "block").applyInArrow(add, fields).collect()
+    out: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r["number"], r["block"])):
+        out.setdefault(r["number"], []).append(pickle.loads(r["data"]))
+    return {k: np.concatenate(x) for k, x in out.items()}
+
+
+def _counts(names: list[str]) -> Callable:
+    """Of a part: 0, in how many texts the words of each unit stand; 1, in how many each word; 2, how often in each language."""
+
+    def work(part: int, data: tuple) -> Iterator[tuple[int, np.ndarray]]:
+        codes, offsets, made, held, _, _, langs = data
+        owner, column = np.nonzero(made >= 0)
+        yield 0, np.bincount(made[owner, column], weights=held[owner], minlength=BUCKETS)
+        yield 1, np.bincount(made[:, 0], weights=held, minlength=BUCKETS)
+        of = np.repeat(np.array([names.index(x) if x in names else -1 for x in langs], np.int8), np.diff(offsets))
+        by = [np.bincount(codes[of == k], minlength=len(made)) for k in range(len(names))]
+        yield 2, np.stack([np.bincount(made[:, 0], weights=x, minlength=BUCKETS) for x in by], axis=1) if by else np.zeros((BUCKETS, 0))
+
+    return work
+
+
+def _languages(names: list[str], held: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, hashes of the words that three texts at least hold, and their log odds by language (naive Bayes)."""
-    often = Counter(x for x in langs if x is not None)
-    names = sorted(x for x, _ in sorted(often.items(), key=lambda t: (-t[1], t[0]))[:MOST_LANGUAGES])
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    pairs = np.unique(text * len(distinct) + codes) if len(codes) else np.zeros(0, np.int64)
-    held = np.bincount(pairs % max(len(distinct), 1), minlength=len(distinct))
     words = np.flatnonzero(held >= 3)
     if len(names) < 2 or not len(words):
         return [], np.zeros(0, np.int64), np.zeros((1, 0), np.float32)
-    at = {x: k for k, x in enumerate(names)}
-    of = np.array([at.get(x, len(names)) for x in langs])[text]
-    counts = np.stack([np.bincount(codes[of == k], minlength=len(distinct))[words] for k in range(len(names))], axis=1) + 0.5
-    share = counts / counts.sum(axis=0)
+    share = counts[words] + 0.5
+    share /= share.sum(axis=0)
     odds = np.log(share / share.mean(axis=1)[:, None])
-    hashes, first = np.unique(units([distinct[w] for w in words])[:, 0], return_index=True)
-    return names, hashes.astype(np.int64), np.concatenate([np.zeros((1, len(names))), odds[first]]).astype(np.float32)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL, most_chars: int = MOST_CHARS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Model:
-    """A model from up to per_label labelled texts a label, of at most most_chars characters each.
+    return names, words, np.concatenate([np.zeros((1, len(names))), odds]).astype(np.float32)
+
+
+def _rows(made: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units' places among buckets (from 1; 0: none), word after word, and where each word's end (0 first)."""
+    return _lookup(buckets, made[made >= 0]), np.concatenate([[0], np.cumsum((made >= 0).sum(axis=1))])
+
+
+def _learners(shared, seed: int) -> Callable:
+    """Of a part: for each model, 2k, how far its unit vectors and what was spent on them moved in one epoch; 2k + 1, its other parameters."""
+
+    def work(part: int, data: tuple) -> Iterator[tuple[int, np.ndarray]]:
+        buckets, weight, uses, epoch, states = shared.value
+        codes, offsets, made, _, labels, folds, _ = data
+        places, ends = _rows(made, buckets)
+        for k, (dense, table) in enumerate(states):
+            picked = np.flatnonzero(folds != k) if uses[k] else np.arange(len(labels))
+            if not len(picked):
+                continue
+            state = State.new(1, np.random.default_rng(0))
+            state.dense = dense
+            state.e, state.spent = table[:, :DIM].astype(np.float32), table[:, DIM].astype(np.float32)
+            texts = [codes[offsets[i] : offsets[i + 1]] + 1 for i in picked]
+            _epoch(state, texts, labels[picked].astype(float), places, ends, weight[labels[picked]], np.random.default_rng([seed, epoch, part]))
+            yield 2 * k, (np.concatenate([state.e, state.spent[:, None]], axis=1) - table).astype(np.float16)
+            yield 2 * k + 1, np.append(state.dense, 1.0)[None]
+
+    return work
+
+
+def _judged(shared) -> Callable:
+    """Of the parts: how many rows of each label and language have each score, by the model that hasn't seen them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            for data in batch.column(1):
+                codes, offsets, made, _, labels, folds, _ = pickle.loads(data.as_buffer())
+                for k, model in enumerate(models):
+                    places, ends = _rows(made, model.buckets)
+                    rows = np.concatenate([np.zeros((1, DIM), np.float32), _embedded(model.vectors, places, ends)])
+                    tables, marks = model.tables(rows), _lookup(model.marks, made[:, 0])
+                    mine = np.flatnonzero(folds == k)
+                    for at in range(0, len(mine), 256):
+                        some = mine[at : at + 256]
+                        own = [codes[offsets[i] : offsets[i + 1]] for i in some]
+                        bounds, flat = np.cumsum([0, *map(len, own)]), np.concatenate(own)
+                        p = np.round(model.probabilities(flat + 1, bounds, tables).astype(float), 5)
+                        language = model.spoken(sums(model.evidence[marks[flat]], bounds))
+                        seen, often = np.unique(np.stack([labels[some], language, p]), axis=1, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(seen[0].astype(np.int32)), pa.array(seen[1].astype(np.int32)), pa.array(seen[2]), pa.array(often)], names=["label", "language", "p", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", part_rows: int = PART_ROWS) -> Model:
+    """A model from all labelled texts, whole.
 
     Languages are learned from column lang_col of these texts, if docs have it; scoring never reads it. Of rows that repeat an id
     the least text counts. With no rows of one of the labels the model gives every text the same score, below CUT if no row is labelled 1.
     """
-    more = lang_col if lang_col in docs.columns else None
-    sample, totals = labelled_sample(docs, labels, label, per_label, most_chars, id_col, text_col, more)
-    y = np.array([s[2] for s in sample], float)
-    if len(set(y)) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), 3.0 if len(y) and y[0] else -3.0, thresholds={UNKNOWN: 0.5})
-    codes, distinct, offsets = coded_words(pa.array([s[1] for s in sample], pa.large_string()))
-    names, marks, evidence = _languages(codes, distinct, offsets, [s[3] if more else None for s in sample])
-    made = units(distinct)
-    flat, owner = made[made >= 0], np.nonzero(made >= 0)[0]
+    spark = docs.sparkSession
+    rows, most = labelled_rows(docs, labels, label, id_col, text_col, lang_col if lang_col in docs.columns else None)
+    ship(spark)
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-most // part_rows)))).cast("int")).groupBy("part").applyInArrow(_encoded, "part int, data binary")
+    parts = checkpoint(parts)
+    tally = checkpoint(parts.mapInArrow(_tallied, "fold int, label int, lang string, n long").groupBy("fold", "label", "lang").agg(F.sum("n").alias("n")))
+    sizes = {(r[0], r[1]): r[2] for r in tally.groupBy("fold", "label").agg(F.sum("n")).collect()}  # four rows at most
+    n0, n1 = (sum(n for (_, y), n in sizes.items() if y == k) for k in (0, 1))
+    if not n0 or not n1:
+        return Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), 3.0 if n1 else -3.0, thresholds={UNKNOWN: 0.5})
+    spoken = tally.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    found = _summed(parts, _counts(names := sorted(r[0] for r in spoken)))
     # a unit that stands in one text only can't tell anything about others
-    text = np.repeat(np.arange(len(sample)), np.diff(offsets))
-    word_texts = np.unique(codes * len(sample) + text)
-    per_word = np.split(word_texts % len(sample), np.searchsorted(word_texts // len(sample), np.arange(1, len(distinct))))
-    known, unit = np.unique(flat, return_inverse=True)
-    counts = np.array([len(t) for t in per_word])
-    least = np.bincount(unit, weights=counts[owner])
-    alone = np.unique(unit)[least < 2]
-    buckets = known[np.setdiff1d(np.arange(len(known)), alone)]
-    places, ends = _lookup(buckets, flat), np.concatenate([[0], np.cumsum((made >= 0).sum(axis=1))])
-    texts = [codes[a:b] + 1 for a, b in zip(offsets, offsets[1:], strict=False)]
-    n1, n0 = y.sum(), (1 - y).sum()
-    weight = np.where(y > 0, min(10.0, max(1.0, n0 / n1)), 1.0)
-
-    def trained(rows: np.ndarray) -> Model:
-        p = _train([texts[i] for i in rows], y[rows], places, ends, len(buckets) + 1, weight[rows], seed)
-        return Model(buckets, p["e"], [p[f"w{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["v"], float(p["c"][0]), names, marks, evidence, key=zlib.crc32(p["e"].tobytes()))
-
-    probability, language = np.zeros(len(y)), np.zeros(len(y), np.int64)
-    folds = np.array([zlib.crc32(str(s[0]).encode()) // 3 % FOLDS for s in sample])
-    for fold in range(FOLDS):
-        rest = np.flatnonzero(folds == fold)
-        use = np.flatnonzero(folds != fold)
-        use = use if len(set(y[use])) == 2 else np.arange(len(y))
-        if len(rest):
-            one = trained(use)
-            probability[rest], language[rest] = one.raw(pa.array([sample[i][1] for i in rest], pa.large_string()), WordRows(one.rows_of))
-    true = np.array([totals[0] / n0, totals[1] / n1])[y.astype(int)]  # as frequent as in all labelled rows
-    model = trained(np.arange(len(y)))
-    model.thresholds = calibrate(probability, y, language, names, true)
+    buckets = np.flatnonzero(found[0] >= 2)
+    names, marks, evidence = _languages(names, found[1], found[2])
+    weight = np.array([1.0, min(10.0, max(1.0, n0 / n1))])
+    # a model without each of the folds, where the rest has both labels, and one of all rows
+    uses = [all(sum(sizes.get((k, y), 0) for k in range(FOLDS) if k != fold) for y in (0, 1)) for fold in range(FOLDS)] + [False]
+    states = [State.new(len(buckets) + 1, np.random.default_rng(seed)) for _ in uses]
+    for epoch in range(max(LEAST_EPOCHS, min(EPOCHS, SEEN_ROWS // (n0 + n1)))):
+        shared = spark.sparkContext.broadcast((buckets, weight, uses, epoch, [(s.dense, np.concatenate([s.e, s.spent[:, None]], axis=1).astype(np.float16)) for s in states]))
+        moved = _summed(parts, _learners(shared, seed), mean=True)
+        for k, s in enumerate(states):
+            if 2 * k in moved:
+                s.dense = moved[2 * k + 1][0][:-1]
+                s.e += moved[2 * k][:, :DIM]
+                s.spent += moved[2 * k][:, DIM]
+            s.e *= 1 - E_DECAY
+        shared.destroy()
+        spark.sparkContext._jvm.System.gc()  # the epoch's shuffle files go
+
+    def made(s: State) -> Model:
+        return Model(buckets, s.e, [s.p[f"w{w}"] for w in WIDTHS], [s.p[f"b{w}"] for w in WIDTHS], s.p["v"], float(s.p["c"][0]), names, marks, evidence, key=zlib.crc32(s.e.tobytes()))
+
+    shared = spark.sparkContext.broadcast([made(s) for s in states[:-1]])
+    fields = "label int, language int, p double, n long"
+    seen = parts.mapInArrow(_judged(shared), fields).groupBy("label", "language", "p").agg(F.sum("n").alias("n")).collect()  # scores have five decimals
+    model = made(states[-1])
+    y, language, p, often = (np.array([r[c] for r in seen]) for c in ("label", "language", "p", "n"))
+    order = np.lexsort((language, y, p))
+    model.thresholds = calibrate(p[order], y[order].astype(float), language[order], names, often[order].astype(float))
+    shared.destroy()
     return model
 
 
@@ -308,7 +494,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     Null and empty texts are scored like a text without words. Columns with these names are replaced. Texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS
 
     def make():
         own = shared.value

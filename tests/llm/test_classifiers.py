@@ -55,6 +55,18 @@ def test_toxicity(spark, learned, unseen):
     assert toxicity.score(unseen, none).filter("predicted = 1").count() == 0 and toxicity.score(unseen.limit(0), none).count() == 0
 
 
+def test_toxicity_learns_from_every_row_and_whole_texts(spark):
+    """Toxic texts are longer than 6,000 characters and bear their word behind that; rows are dealt over several parts."""
+    rows = [(k, (t if not toxic else t + " " + "stone river house " * 400 + "scum idiot"), toxic) for k, t, toxic, _ in corpus(400, 7) if toxic or not set(BAD) & set(t.split())]
+    docs = spark.createDataFrame([(k, t if not y else t.replace("trash", "").replace("loser", "")) for k, t, y in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, part_rows=150)
+    right = toxicity.score(docs, model).join(labels, "doc_id").filter("predicted = toxic").count()
+    assert right > 0.95 * len(rows) and min(sum(r[2] for r in rows), 400) > 90
+    again = toxicity.fit(docs.repartition(5), labels.repartition(2), part_rows=150)
+    assert again.key == model.key and again.thresholds == model.thresholds  # whatever order rows come in
+
+
 def test_convolution_equals_plain_loops(spark, learned):
     model = toxicity.fit(*learned)
     rows = np.array([1, 0, 3, 2, 2, 5])
