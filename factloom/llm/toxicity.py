@@ -334,12 +334,12 @@ def _summed(parts: DataFrame, work: Callable[[int, tuple], Iterator[tuple[int, n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for number, made in work(part, pickle.loads(data.as_buffer())):
-                    blocks = [made[at : at + BLOCK] for at in range(0, len(made), BLOCK)]
-                    for k, x in enumerate(blocks):
-                        yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "block": pa.array([k], pa.int32()), "data": pa.array([pickle.dumps(x, 5)], pa.binary())})
+                    for at in range(0, len(made), BLOCK):
+                        yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "block": pa.array([at // BLOCK], pa.int32()), "data": pa.array([pickle.dumps(made[at : at + BLOCK], 5)], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total, often, kind = None, None, None
@@ -407,7 +407,10 @@ def _learners(shared, seed: int) -> Callable:
             state.e, state.spent = table[:, :DIM].astype(np.float32), table[:, DIM].astype(np.float32)
             texts = [codes[offsets[i] : offsets[i + 1]] + 1 for i in picked]
             _epoch(state, texts, labels[picked].astype(float), places, ends, weight[labels[picked]], np.random.default_rng([seed, epoch, part]))
-            yield 2 * k, (np.concatenate([state.e, state.spent[:, None]], axis=1) - table).astype(np.float16)
+            state.e -= table[:, :DIM]
+            moved = np.empty(table.shape, np.float16)
+            moved[:, :DIM], moved[:, DIM] = state.e, state.spent - table[:, DIM]
+            yield 2 * k, moved
             yield 2 * k + 1, np.append(state.dense, 1.0)[None]
 
     return work
@@ -417,13 +420,15 @@ def _judged(shared) -> Callable:
     """Of the parts: how many rows of each label and language have each score, by the model that hasn't seen them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         models = shared.value
         for batch in batches:
             for data in batch.column(1):
                 codes, offsets, made, _, labels, folds, _ = pickle.loads(data.as_buffer())
                 for k, model in enumerate(models):
                     places, ends = _rows(made, model.buckets)
-                    rows = np.concatenate([np.zeros((1, DIM), np.float32), _embedded(model.vectors, places, ends)])
+                    some = range(0, len(made), 10_000)
+                    rows = np.concatenate([np.zeros((1, DIM), np.float32), *[_embedded(model.vectors, places[ends[at] : ends[min(at + 10_000, len(made))]], ends[at : at + 10_001] - ends[at]) for at in some]])
                     tables, marks = model.tables(rows), _lookup(model.marks, made[:, 0])
                     mine = np.flatnonzero(folds == k)
                     for at in range(0, len(mine), 256):

@@ -140,3 +140,16 @@ def test_lm_scores_equal_plain_counts(spark, hot_share):
         else:
             assert abs(r[2] - t(ids)) < 1e-9 and abs(r[3] - b(ids)) < 1e-9 and abs(r[4] - (t(ids) - b(ids))) < 1e-9
     assert lmscore.score(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_slices_hold_their_own_bytes_only():
+    """Parts of a batch, itself cut from a longer column, are compact copies that begin at offset 0; nulls are empty texts."""
+    import pyarrow as pa
+    from factloom.llm.common import slices
+
+    texts = [None if k % 7 == 0 else chr(97 + k % 26) * (k * 13 % 400) for k in range(300)]
+    parts = list(slices(pa.array(texts).slice(50, 200), 5000))
+    assert [t for _, p in parts for t in p.to_pylist()] == [t or "" for t in texts[50:250]] and len(parts) > 5
+    for _, p in parts:
+        p.validate(full=True)
+        assert p.offset == 0 and p.buffers()[2].size <= 5000
