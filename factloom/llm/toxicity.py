@@ -355,9 +355,11 @@ def _summed(parts: DataFrame, work: Callable[[int, tuple], Iterator[tuple[int, n
     fields = "number int, block int, data binary"
     found = parts.mapInArrow(run, fields).groupBy("number", "block").applyInArrow(add, fields).collect()
     out: dict[int, list] = {}
-    for r in sorted(found, key=lambda r: (r["number"], r["block"])):
+    found.sort(key=lambda r: (r["number"], r["block"]), reverse=True)
+    while found:  # what is read goes at once, so the driver holds the sums about once
+        r = found.pop()
         out.setdefault(r["number"], []).append(pickle.loads(r["data"]))
-    return {k: np.concatenate(x) for k, x in out.items()}
+    return {k: np.concatenate(out.pop(k)) for k in list(out)}
 
 
 def _counts(names: list[str]) -> Callable:
@@ -464,6 +466,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7,
     # a unit that stands in one text only can't tell anything about others
     buckets = np.flatnonzero(found[0] >= 2)
     names, marks, evidence = _languages(names, found[1], found[2])
+    del found
     weight = np.array([1.0, min(10.0, max(1.0, n0 / n1))])
     # a model without each of the folds, where the rest has both labels, and one of all rows
     uses = [all(sum(sizes.get((k, y), 0) for k in range(FOLDS) if k != fold) for y in (0, 1)) for fold in range(FOLDS)] + [False]
@@ -477,6 +480,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7,
                 s.e += moved[2 * k][:, :DIM]
                 s.spent += moved[2 * k][:, DIM]
             s.e *= 1 - E_DECAY
+        del moved
         shared.destroy()
         spark.sparkContext._jvm.System.gc()  # the epoch's shuffle files go
 
@@ -491,6 +495,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7,
     order = np.lexsort((language, y, p))
     model.thresholds = calibrate(p[order], y[order].astype(float), language[order], names, often[order].astype(float))
     shared.destroy()
+    del states, seen
+    release()  # the driver's own, as what follows needs little of it
     return model
 
 

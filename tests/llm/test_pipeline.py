@@ -73,3 +73,23 @@ def test_stages_return_the_columns_of_documents(spark, folder):
         out = stage(spark, docs, folder[0])
         assert out.dtypes == docs.dtypes
     assert corpus_pipeline.ORACLE_SQL is None and [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def test_checkpoints_give_the_drivers_native_memory_back(spark, monkeypatch):
+    """Native memory that the driver's JVM took in small pieces and freed goes back to the system, also where a piece in use stands behind it."""
+    from factloom import lineage
+
+    java = spark._jvm.java
+    if java.lang.Runtime.version().compareTo(java.lang.Runtime.Version.parse("17.0.9")) < 0:
+        pytest.skip("this Java has no release of native memory")
+    status = Path(f"/proc/{java.lang.ProcessHandle.current().pid()}/status")
+    held = lambda: int(status.read_text().split("RssAnon:")[1].split()[0]) / 1024
+    monkeypatch.setattr(lineage, "RELEASE_S", 0, raising=False)
+    lineage.checkpoint(spark.range(1))
+    pieces = [java.util.zip.Deflater() for _ in range(1500)]
+    full = held()
+    for piece in pieces[:-1]:
+        piece.end()
+    lineage.checkpoint(spark.range(1))
+    assert held() < full - 60
+    pieces[-1].end()
