@@ -42,9 +42,11 @@ def latest_percentile(series: DataFrame, least: int = 10, order: tuple[str, ...]
     return series.join(last, "code").groupBy("code").agg(F.first("last").alias("last"), (100.0 * F.count_if(F.col("close") < F.col("last")) / F.count("*")).alias("percentile"), (100.0 * F.avg((F.col("close") < 0).cast("int"))).alias("loss_share"))
 
 
-def latest_return(series: DataFrame, n: int, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Per code the return over n rows at its last row, where it has one."""
-    return returns(series, n, order).groupBy("code").agg(F.max_by("ret", F.struct(*order)).alias("ret")).filter("ret is not null")
+def latest_return(series: DataFrame, n: int, order: tuple[str, ...] = ORDER, earlier: bool = False) -> DataFrame:
+    """Per code the return over n rows at its last row, where it has one; with `earlier` at the last row that has one."""
+    at = F.struct(*order)
+    at = F.when(F.col("ret").isNotNull(), at) if earlier else at
+    return returns(series, n, order).groupBy("code").agg(F.max_by("ret", at).alias("ret")).filter("ret is not null")
 
 
 def peer_alpha(found: DataFrame, peers: DataFrame) -> DataFrame:

@@ -53,6 +53,20 @@ def test_peer_alpha_makes_no_pairs(spark, monkeypatch):
     assert QUERIES["peer_alpha"](spark, "").count() == n and seen == [0]
 
 
+def test_peer_alpha_takes_the_last_return_that_there_is(spark, tmp_path):
+    """A zero two events before the last leaves no return there; in large tables some codes have one."""
+    duckdb = pytest.importorskip("duckdb")
+    closes = {0: [1.0, 2.0, 4.0, 0.0, 3.0, 5.0], 1: [0.0, 7.0, 8.0], 2: [1.0, 1.0, 3.0], 3: [5.0, 2.0, 4.0, None, 6.0], 4: [9.0, 9.0]}
+    events = [(10 * code + k, f"2024-01-{k + 1:02d}", code, v) for code, values in closes.items() for k, v in enumerate(values)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(5).selectExpr("id as c_custkey", "1 as c_nationkey", "'x' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for name in ("events", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["peer_alpha"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(ORACLES["peer_alpha"]).fetchall()) and {r[0] for r in got} == {0, 2, 3}
+
+
 def test_matches_equal_all_pairs(spark):
     from factloom.operators import entities
 
